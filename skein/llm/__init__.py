@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and ORACLE.
-NAMES: list[str] = []
+NAMES = ["topn", "cooccurrence", "confusables"]
 
 
 def modules() -> list:
