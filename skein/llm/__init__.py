@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and ORACLE.
-NAMES = ["topn", "cooccurrence", "confusables", "encoding", "leakage", "overlap"]
+NAMES = ["topn", "cooccurrence", "confusables", "encoding", "leakage", "overlap", "subjects"]
 
 
 def modules() -> list:
