@@ -58,12 +58,14 @@ def reference_cases(refs: DataFrame, parents: DataFrame, removed: DataFrame, key
     ``parents`` has each ``key`` once, with ``at`` when it was first seen; ``removed`` has keys
     known to be removed. ``late``: the record is there but was first seen after the reference;
     ``deleted`` or ``missing``: it is not there and is, or is not, in ``removed``. A reference or
-    record without a time is never late; a null reference is no case. ``refs`` should be staged.
+    record without a time is never late; a null reference is no case; repeated rows stay repeated;
+    other columns pass through (``ref_state`` is overwritten). ``refs`` should be staged.
     """
+    refs = refs.drop("ref_state")
     gone = orphans(refs, parents, {key: key}).drop("null_mask")
-    known = removed.select(key).dropna().distinct().withColumn("_removed", F.lit(True))
-    gone = skew_join(gone, known, [key], "left").withColumn("ref_state", F.when(F.col("_removed"), "deleted").otherwise("missing"))
-    seen = skew_join(refs, parents.select(key, F.col(at).alias("_parent_at")), [key], "inner")
-    late = seen.where(F.col("_parent_at") > F.col(at)).withColumn("ref_state", F.lit("late"))
+    known = removed.select(key).dropna().distinct().withColumn("__removed", F.lit(True))
+    gone = skew_join(gone, known, [key], "left").withColumn("ref_state", F.when(F.col("__removed"), "deleted").otherwise("missing"))
+    seen = skew_join(refs, parents.select(key, F.col(at).alias("__parent_at")), [key], "inner")
+    late = seen.where(F.col("__parent_at") > F.col(at)).withColumn("ref_state", F.lit("late"))
     columns = [*refs.columns, "ref_state"]
     return gone.select(*columns).unionByName(late.select(*columns))

@@ -41,9 +41,10 @@ def key_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, f
     true minimum and maximum, until these are equal. What meets in one task for a key is one
     histogram, never its values. Ties need no rule, since equal values are one entry.
     """
+    given, keys = keys, [f"__k{i}" for i in range(len(keys))]
     whole = not isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType, T.DecimalType))
     v = F.col(value).cast("long" if whole else "double")
-    kept = df.select(*keys, (v if whole else F.when(~F.isnan(v), v)).alias("_v")).dropna(subset=keys)
+    kept = df.select(*(F.col(g).alias(k) for g, k in zip(given, keys, strict=True)), (v if whole else F.when(~F.isnan(v), v)).alias("_v")).dropna(subset=keys)
     hist = stage(kept.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")), "selection-counts")
     totals = hist.groupBy(*keys).agg(
         F.sum("_n").alias("n_rows"),
@@ -73,4 +74,5 @@ def key_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, f
         state = stage(state.select(*keys, "_name", (F.col("_rank") - F.col("_below")).alias("_rank"), "_lo", "_hi"), "selection-round")
     values = reduce(DataFrame.unionByName, done)
     wide = values.groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in names))
-    return totals.select(*keys, "n_rows", "n_values").join(wide, keys, "left")
+    out = totals.select(*keys, "n_rows", "n_values").join(wide, keys, "left")
+    return out.select(*(F.col(k).alias(g) for g, k in zip(given, keys, strict=True)), "n_rows", "n_values", *names)

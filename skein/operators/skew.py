@@ -19,12 +19,12 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, least: in
     At most ``1 / share`` tuples reach the driver, whatever the data. Rows with a null among the
     keys are no key. ``df`` is read once and should be cheap to read again (a staged table).
     """
-    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-    top = counts.orderBy(F.desc("_n")).limit(round(1 / share)).collect()
+    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
+    top = counts.orderBy(F.desc("__n")).limit(round(1 / share)).collect()
     if not top:
         return []
     total = df.count()
-    return [tuple(r[k] for k in keys) for r in top if r["_n"] >= share * total]
+    return [tuple(r[k] for k in keys) for r in top if r["__n"] >= share * total]
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: float = HOT_SHARE, least: int = HOT_ROWS) -> DataFrame:
