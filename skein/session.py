@@ -42,6 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Tables written by this driver and not yet swept.
+_STAGED: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables staged so far and give their number; results that still read them must be written before."""
+    jvm, n = spark._jvm, len(_STAGED)
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def stage(df: DataFrame, what: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -49,6 +62,7 @@ def stage(df: DataFrame, what: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
