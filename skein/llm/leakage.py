@@ -75,8 +75,8 @@ class _Sieve:
 
     def positions(self, h: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(self.bitmap[h & np.uint64((1 << self.BITS) - 1)])
-        if not len(at):
-            return at
+        if not len(at) or not len(self.known):
+            return at[:0]
         i = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
         return at[self.known[i] == h[at]]
 
@@ -170,9 +170,7 @@ def passages(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, tex
     distinct = grain.select("hash").distinct()
     known = None
     if distinct.count() <= MOST_SEEDS:
-        known = spark.sparkContext.broadcast(np.unique(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64)))
-    if known is not None and not len(known.value):
-        return spark.createDataFrame([], f"{doc_key} {kinds['key']}, {item_key} {kinds['item']}, n_equal bigint, longest_run bigint, n_words bigint")
+        known = spark.sparkContext.broadcast(np.unique(distinct.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)))
     rows = docs.select(F.col(doc_key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
     found = stage(rows.mapInArrow(lambda it: _segments(it, known, around), f"key {kinds['key']}, first bigint, words array<bigint>, at array<bigint>, hash array<bigint>"), "leakage-hits")
     hits = found.select("key", "first", F.explode(F.arrays_zip("at", "hash")).alias("h")).select("key", "first", F.col("h.at").alias("at"), F.col("h.hash").alias("hash"))

@@ -66,6 +66,7 @@ def overlaps(df: DataFrame, group: str, member: str, min_members: int, min_jacca
     so no pair is lost). The candidates' tries are then descended together, one hash range per
     task; what moves is a set's sorted places in that range, never an intersection.
     """
+    kind = df.schema[group].dataType.simpleString()
     rows = stage(df.select(F.col(group).alias("item"), F.col(member).alias("member")).dropna().distinct(), "overlap-members")
     sizes = stage(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_members), "overlap-sizes")
     kept = stage(skew_join(rows, sizes.select("item"), ["item"], "left_semi"), "overlap-kept")
@@ -103,7 +104,7 @@ def overlaps(df: DataFrame, group: str, member: str, min_members: int, min_jacca
     blocks = stage(blocks.join(widths, "range"), "overlap-blocks")
     met = pairs.select("source", "target").join(blocks.select(F.col("item").alias("source"), "range", "size", F.col("places").alias("x")), "source")
     met = met.join(blocks.select(F.col("item").alias("target"), "range", F.col("places").alias("y")), ["target", "range"])
-    parts = met.select("source", "target", "size", "x", "y").mapInPandas(_descend, "source string, target string, n bigint")
+    parts = met.select("source", "target", "size", "x", "y").mapInPandas(_descend, f"source {kind}, target {kind}, n bigint")
     found = parts.groupBy("source", "target").agg(F.sum("n").alias("n_common")).join(pairs, ["source", "target"])
     jaccard = F.col("n_common") / (F.col("n_source") + F.col("n_target") - F.col("n_common"))
     return found.withColumn("jaccard", jaccard).where(F.col("jaccard") >= min_jaccard - 1e-12).select("source", "target", "n_source", "n_target", "n_common", "jaccard")

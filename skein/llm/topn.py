@@ -26,7 +26,8 @@ def top_n(df: DataFrame, group: str, order: list[Column], n: int, rank: str = "r
     ``n`` + 1 rows for each partition.
 
     Rows with a null group are left out, nulls in ``order`` stand where it puts them, groups
-    smaller than ``n`` come out whole, an empty table gives none. A column called ``rank`` is replaced.
+    smaller than ``n`` come out whole, an empty table gives none. A column called ``rank`` is
+    replaced; ``__part``, ``__place`` and ``__count`` are the names used inside.
     """
     df = df.drop(rank).where(F.col(group).isNotNull())
     columns = df.columns
@@ -34,7 +35,7 @@ def top_n(df: DataFrame, group: str, order: list[Column], n: int, rank: str = "r
     at = columns.index(group)
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with their place in the partition; at each group's end its count there, in ``_count``."""
+        """Rows with their place in the partition; at each group's end its count there, in ``__count``."""
         part = TaskContext.get().partitionId()
         last, held = None, 0
 
@@ -43,7 +44,7 @@ def top_n(df: DataFrame, group: str, order: list[Column], n: int, rank: str = "r
             return out(arrays, b.schema.names, pa.array([None], pa.int64()), pa.array([count], pa.int64()))
 
         def out(arrays: list, names: list[str], place: pa.Array, count: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*arrays, pa.array([part] * len(place), pa.int32()), place, count], [*names, "_part", "_place", "_count"])
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([part] * len(place), pa.int32()), place, count], [*names, "__part", "__place", "__count"])
 
         b = None
         for b in batches:
@@ -71,10 +72,10 @@ def top_n(df: DataFrame, group: str, order: list[Column], n: int, rank: str = "r
             yield count_row(b, last, held)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    local = ordered.mapInArrow(firsts, f"{kinds}, _part int, _place bigint, _count bigint")
-    before = F.coalesce(F.sum("_count").over(Window.partitionBy(group).orderBy("_part").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = local.withColumn(rank, before + F.col("_place"))
-    return placed.where(F.col("_place").isNotNull() & (F.col(rank) <= n)).select(*columns, rank)
+    local = ordered.mapInArrow(firsts, f"{kinds}, __part int, __place bigint, __count bigint")
+    before = F.coalesce(F.sum("__count").over(Window.partitionBy(group).orderBy("__part").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = local.withColumn(rank, before + F.col("__place"))
+    return placed.where(F.col("__place").isNotNull() & (F.col(rank) <= n)).select(*columns, rank)
 
 
 def best_rows(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
