@@ -36,9 +36,13 @@ def embed(c: Column, model: Callable[[], Embedder] = hashing_embedder, batch: in
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embedder = model()
         for s in parts:
+            out = pd.Series([None] * len(s), index=s.index, dtype=object)
             known = s[s.notna()]
-            rows = [v for i in range(0, len(known), batch) for v in embedder(known.iloc[i : i + batch].tolist())]
-            yield pd.Series(rows, index=known.index, dtype=object).reindex(s.index)
+            for i in range(0, len(known), batch):
+                part = known.iloc[i : i + batch]
+                for at, vector in zip(part.index, embedder(part.tolist()), strict=True):
+                    out.at[at] = vector
+            yield out
 
     return F.pandas_udf(run, ArrayType(FloatType()))(c)
 

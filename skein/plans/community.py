@@ -93,20 +93,22 @@ def json_events(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", c.json_long(F.try_parse_json("props"), "k", -1).alias("k"))
 
 
-_ORDER = [F.desc("score"), F.desc("num_comments"), F.desc("upvote_ratio"), F.asc("title"), F.asc("created_utc"), F.asc("author"), F.asc("name"), F.asc("ingested_at")]
+def _order() -> list:
+    return [F.desc("score"), F.desc("num_comments"), F.desc("upvote_ratio"), F.asc("title"), F.asc("created_utc"), F.asc("author"), F.asc("name"), F.asc("ingested_at")]
+
 
 
 def topk_per_group(spark: SparkSession, sf: str) -> DataFrame:
     """The 1000 best posts of each community, people only."""
     cols = ["subreddit", "title", "score", "subreddit_subscribers", "domain", "num_comments", "upvote_ratio", "created_utc", "author", "name", "ingested_at"]
-    top = rank.top_k(clean.without_bots(_subs(spark, sf, *cols)), "subreddit", _ORDER, 1000)
+    top = rank.top_k(clean.without_bots(_subs(spark, sf, *cols)), "subreddit", _order(), 1000)
     return top.select("subreddit", "title", "score", "subreddit_subscribers", "domain")
 
 
 def top_quality_posts(spark: SparkSession, sf: str) -> DataFrame:
     """Posts of quality with their rank in the community."""
     cols = ["name", "subreddit", "author", "title", "score", "num_comments", "upvote_ratio", "created_utc", "ingested_at"]
-    top = rank.top_k(clean.quality_posts(_subs(spark, sf, *cols)), "subreddit", _ORDER, 1000, "rank_in_subreddit")
+    top = rank.top_k(clean.quality_posts(_subs(spark, sf, *cols)), "subreddit", _order(), 1000, "rank_in_subreddit")
     return top.select("subreddit", "rank_in_subreddit", "author", "title", "score", "num_comments", "upvote_ratio", "created_utc")
 
 
@@ -233,6 +235,14 @@ _RECOVER = f"""WITH l AS (SELECT {", ".join(_KEYS)}, min(name) AS name FROM subm
 j AS (SELECT r.rank_in_subreddit, {", ".join("r." + k for k in _KEYS)}, l.name FROM top_posts_per_subreddit r LEFT JOIN l ON {_KEYS_SQL})
 """
 
+
+
+def _long(f: str) -> str:
+    """A JSON field as whole number: numbers lose their fraction, texts must be whole, true is 1; else 0."""
+    x = f"j->>'$.{f}'"
+    return f"coalesce(CASE json_type(j, '$.{f}') WHEN 'VARCHAR' THEN CASE WHEN regexp_full_match(trim({x}), '[+-]?[0-9]+') THEN try_cast(trim({x}) AS BIGINT) END WHEN 'BOOLEAN' THEN CASE WHEN {x} = 'true' THEN 1 ELSE 0 END ELSE CAST(trunc(try_cast({x} AS DOUBLE)) AS BIGINT) END, 0) AS {f}"
+
+
 ORACLE = {
     "co_author_edges": _CO + "SELECT * FROM e",
     "co_author_top20": _CO + "SELECT * FROM e ORDER BY weight DESC, source, target LIMIT 20",
@@ -248,6 +258,13 @@ SELECT x.s AS source, y.s AS target, count(*) AS weight FROM k x JOIN k y ON x.c
     "missing_normalize": f"""SELECT name, {_known("crosspost_parent")} AS parent, coalesce({_known("crosspost_parent")}, 'None') AS parent_word, {_known("selftext")} AS body, coalesce(nullif(domain, ''), 'None') AS domain_word FROM submissions""",
     "date_clean": rf"""SELECT DISTINCT name, created_utc, CASE WHEN regexp_full_match(trim(created_utc), '[+-]?[0-9]+') THEN strftime(make_timestamp(CAST(trim(created_utc) AS BIGINT) * 1000000), '%Y-%m-%d') END AS from_epoch,
   coalesce({_STRICT}, false) AS is_date FROM submissions""",
+    "clean_submissions": f"""
+WITH p AS (SELECT CAST(payload AS JSON) AS j FROM raw_submissions WHERE regexp_matches(payload, '^\\s*\\{{') AND json_valid(payload)),
+t AS (SELECT j, j->>'$.author' AS author, j->>'$.name' AS name, j->>'$.title' AS title, j->>'$.selftext' AS selftext, j->>'$.created_utc' AS epoch FROM p),
+k AS (SELECT * FROM t WHERE author NOT IN ('[deleted]', '[removed]') AND name IS NOT NULL AND json_type(j, '$.title') = 'VARCHAR' AND NOT contains(title, chr(65533)) AND coalesce(selftext, '') NOT IN ('[deleted]', '[removed]'))
+SELECT author, CASE WHEN regexp_full_match(trim(epoch), '[+-]?[0-9]+') THEN strftime(make_timestamp(CAST(trim(epoch) AS BIGINT) * 1000000), '%Y-%m-%d') END AS created_utc,
+  coalesce(j->>'$.crosspost_parent', 'None') AS crosspost_parent, coalesce(j->>'$.domain', 'None') AS domain, {_long("num_comments")}, {_long("num_crossposts")}, {_long("score")}, name,
+  j->>'$.subreddit' AS subreddit, j->>'$.subreddit_id' AS subreddit_id, {_long("subreddit_subscribers")}, title, coalesce(nullif(selftext, ''), 'None') AS selftext, coalesce(try_cast(j->>'$.upvote_ratio' AS DOUBLE), 1.0) AS upvote_ratio FROM k""",
     "clean_comments": """SELECT author, body, controversiality, score, name, parent_id, subreddit, subreddit_id, link_id FROM (SELECT * REPLACE (coalesce(controversiality, 0) AS controversiality, coalesce(score, 0) AS score) FROM comments)
 WHERE author NOT IN ('[deleted]', '[removed]') AND body NOT IN ('[deleted]', '[removed]') AND link_id IS NOT NULL AND name IS NOT NULL AND parent_id IS NOT NULL""",
     "json_events": "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k FROM events",
