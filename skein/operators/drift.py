@@ -34,7 +34,9 @@ CONTENT = (
     ("record", r"^\{"),
     ("time", r'^"?(1[0-9]{9}(\.[0-9]+)?|(19|20)[0-9]{2}-[01][0-9]-[0-3][0-9].*)"?$'),
     ("ratio", r'^"?([01]?\.[0-9]+|[01]\.0|[0-9]{1,3}(\.[0-9]+)?%)"?$'),
-    ("count", r'^"?-?[0-9]{1,12}"?$'),
+    ("digit", r'^"?-?[0-9]"?$'),
+    ("count", r'^"?-?[0-9]{2,3}"?$'),
+    ("amount", r'^"?-?[0-9]{4,12}"?$'),
     ("post", r'^"(?i:t3)_[0-9a-zA-Z]+"$'),
     ("place", r'^"(?i:t5)_[0-9a-zA-Z]+"$'),
     ("thing", r'^"(?i:t[0-9])_[0-9a-zA-Z]+"$'),
@@ -47,6 +49,10 @@ CONTENT = (
 )
 
 
+#: Kinds that tell a field by themselves; fields of other kinds go on under another name only if the names are akin.
+TELLING = {"time", "ratio", "post", "place", "thing", "host"}
+
+
 def _json_type(text: Column) -> Column:
     """The JSON type of a value's JSON text; null for a JSON null."""
     first = F.substring(text, 1, 1)
@@ -128,25 +134,42 @@ def _words(name: str) -> set[str]:
     return {w for w in spaced.split("_") if w}
 
 
-#: Least agreement of contents for a rename; above SURE the names needn't be akin.
-AKIN, SURE = 0.5, 0.9
+#: Least agreement of contents for a rename between names of one concept, akin names, and any names.
+LEAST, AKIN, SURE = 0.2, 0.5, 0.9
 
 
 def name_likeness(a: str, b: str, aliases: dict[str, tuple[str, ...]] = ALIASES) -> float:
-    """1 for names of one concept, else the share of common words."""
+    """1 for names of one concept, -1 for those of two known ones, else the share of common words."""
     concept = {_plain(n): c for c, names in aliases.items() for n in names}
-    if _plain(a) == _plain(b) or concept.get(_plain(a), a) == concept.get(_plain(b), b):
-        return 1.0
+    known = concept.get(_plain(a)), concept.get(_plain(b))
+    if _plain(a) == _plain(b) or None not in known:
+        return 1.0 if _plain(a) == _plain(b) or known[0] == known[1] else -1.0
     x, y = _words(a), _words(b)
     return len(x & y) / max(1, len(x | y))
 
 
-def content_likeness(a: dict[str, int], b: dict[str, int]) -> float | None:
-    """Common share of two content profiles; None where one has no value."""
+def content_likeness(a: dict[str, int], b: dict[str, int], kinds: set[str] | None = None) -> float | None:
+    """Common share of two content profiles, in all ``kinds`` or some; None where one has no value."""
     n, m = sum(a.values()), sum(b.values())
     if not n or not m:
         return None
-    return sum(min(a.get(k, 0) / n, b.get(k, 0) / m) for k in a)
+    return sum(min(a.get(k, 0) / n, b.get(k, 0) / m) for k in a if kinds is None or k in kinds)
+
+
+def goes_on(a: str, b: str, old: dict[str, int], new: dict[str, int]) -> float | None:
+    """How sure it is that the content of field ``a`` goes on as ``b``; None if it doesn't."""
+    names, contents = name_likeness(a, b), content_likeness(old, new)
+    if names < 0:
+        return None
+    if contents is None:
+        return names + 0.5 if names >= 0.5 else None
+    if names == 1:
+        fits = contents >= LEAST
+    elif names > 0:
+        fits = contents >= AKIN
+    else:
+        fits = (content_likeness(old, new, TELLING) or 0) >= SURE
+    return names + contents if fits else None
 
 
 def _changes_of_file(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -165,10 +188,9 @@ def _changes_of_file(pdf: pd.DataFrame) -> pd.DataFrame:
     scored = []
     for a in gone:
         for b in come:
-            names, contents = name_likeness(a, b), content_likeness(old[a][1], new[b][1])
-            fits = names >= 0.5 if contents is None else contents >= AKIN and names > 0 or contents >= SURE or (names == 1 and contents >= 0.2)
-            if fits:
-                scored.append((-(names + (0.5 if contents is None else contents)), a, b))
+            sure = goes_on(a, b, old[a][1], new[b][1])
+            if sure is not None:
+                scored.append((-sure, a, b))
     used: set[tuple[int, str]] = set()
     for _, a, b in sorted(scored):
         if (0, a) in used or (1, b) in used:
@@ -188,8 +210,9 @@ def changes(events: DataFrame) -> DataFrame:
     """Each change of a field from one file of a series to the next.
 
     A field that ends where another starts is renamed if their contents agree (kinds of content,
-    wrappings of one element aside) and their names are akin, or the contents alone decide;
-    fields without any value are judged by their names. One that ends and starts under its own
+    wrappings of one element aside) and their names are akin, or if contents of a telling kind
+    agree; fields without any value are judged by their names, and names of two known concepts
+    are never one. One that ends and starts under its own
     name is retyped; a field that had no value on one side isn't. Each name goes into one rename at most, the most alike
     first, ties by name. A group is the events of one file: bounded by its number of fields.
     """
