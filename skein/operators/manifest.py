@@ -92,7 +92,7 @@ def folders(files: DataFrame, order: str, start: int = 1, filled: int = 0, most:
     return running(files, [F.asc(order)]).withColumn("folder", (F.floor((F.col("position") - 1 + filled) / most) + start).cast("bigint")).drop("position", "before")
 
 
-def folder_state(paths: DataFrame, path: str = "path", prefix: str = "pushshift_") -> DataFrame:
+def folder_state(paths: DataFrame, path: str = "path", prefix: str = "folder_") -> DataFrame:
     """Number of files in each numbered folder."""
     index = F.regexp_extract(F.col(path), f"{prefix}([0-9]+)/", 1).try_cast("bigint")
     return paths.select(index.alias("folder")).dropna().groupBy("folder").agg(F.count(F.lit(1)).alias("n_files"))

@@ -15,21 +15,21 @@ QUOTA = 200_000
 
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:
-    """idx, path, size: a dump file for each article, of submissions or comments by turns."""
+    """idx, path, size, owner: a dump file for each article, of submissions or comments by turns."""
     d = read(spark, sf, "documents", "doc_id", "source", "n_chars")
     kind = F.when(F.col("doc_id") % 2 == 0, "submissions").otherwise("comments")
     name = F.concat(F.lit("dumps/"), F.initcap(F.coalesce("source", F.lit("none"))), F.lit("_"), F.col("doc_id").cast("string"), F.lit("_"), kind, F.lit(".zst"))
-    return d.select(F.col("doc_id").alias("idx"), name.alias("path"), F.coalesce("n_chars", F.lit(0)).alias("size"))
+    return d.select(F.col("doc_id").alias("idx"), name.alias("path"), F.coalesce("n_chars", F.lit(0)).alias("size"), F.coalesce("source", F.lit("none")).alias("owner"))
 
 
 def _trash(files: DataFrame) -> DataFrame:
-    return files.where("idx % 17 = 0").select(m.base_name(F.col("path")).alias("name"))
+    return files.where("owner = 'mirror-2'").select(m.base_name(F.col("path")).alias("name"))
 
 
 def _stored(files: DataFrame) -> DataFrame:
-    """Cleaned files of one in three dumps, in numbered folders."""
+    """Cleaned files of some owners, in numbered folders."""
     clean = F.regexp_replace(m.base_name(F.col("path")), r"\.zst$", "_cleaned.parquet")
-    return files.where("idx % 3 = 0").select(F.concat(F.lit("hub/pushshift_"), (F.col("idx") % 7).cast("string"), F.lit("/"), clean).alias("path"), "size")
+    return files.where("owner >= 'q'").select(F.concat(F.lit("hub/folder_"), (F.col("idx") % 7).cast("string"), F.lit("/"), clean).alias("path"), "size")
 
 
 def _stored_names(files: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def _stored_names(files: DataFrame) -> DataFrame:
 
 def _triaged(spark: SparkSession, sf: str) -> DataFrame:
     files = _files(spark, sf)
-    banned = files.where("idx % 11 = 0").select(F.regexp_replace(m.base_name(F.col("path")), r"_(submissions|comments)\.zst$", "").alias("name"))
+    banned = files.where("owner = 'lab-dump-b'").select(F.regexp_replace(m.base_name(F.col("path")), r"_(submissions|comments)\.zst$", "").alias("name"))
     return m.triage(files, _trash(files), banned, _stored_names(files), KEYWORDS, 1000)
 
 
@@ -92,23 +92,23 @@ def trash_sibling_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _siblings(files: DataFrame) -> DataFrame:
-    return files.select(F.concat(F.lit("hub/pushshift_1/"), m.sibling(m.base_name(F.col("path")))).alias("path"))
+    return files.select(F.concat(F.lit("hub/folder_1/"), m.sibling(m.base_name(F.col("path")))).alias("path"))
 
 
 def delete_set(spark: SparkSession, sf: str) -> DataFrame:
     f = _files(spark, sf)
-    wanted = _siblings(f.where("idx % 5 = 0")).select(F.col("path").alias("name"))
+    wanted = _siblings(f.where("owner < 'd'")).select(F.col("path").alias("name"))
     return m.deletions(_siblings(f), _trash(f), wanted, KEYWORDS[:1], 100)
 
 
 def file_states(spark: SparkSession, sf: str) -> DataFrame:
-    f = _files(spark, sf).select("idx", "size", ((F.col("idx") % 4) / 3.0).alias("progress"), (F.col("idx") % 2).alias("priority"))
-    return m.states(f, f.where("idx % 6 = 0").select("idx"), f.where("idx % 9 <> 0").select("idx")).select("idx", "state")
+    f = _files(spark, sf).select("idx", "size", "owner", ((F.col("idx") % 4) / 3.0).alias("progress"), (F.col("idx") % 2).alias("priority"))
+    return m.states(f, f.where("owner = 'mirror-2'").select("idx"), f.where("owner <> 'conf-south'").select("idx")).select("idx", "state")
 
 
 def folder_filter(spark: SparkSession, sf: str) -> DataFrame:
     s = _stored(_files(spark, sf))
-    return s.where(m.in_folder(F.col("path"), "hub/pushshift_2/")).select("path", "size")
+    return s.where(m.in_folder(F.col("path"), "hub/folder_2/")).select("path", "size")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -116,7 +116,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _F = """WITH RECURSIVE d AS (SELECT doc_id AS idx, coalesce(source, 'none') AS s, coalesce(n_chars, 0) AS size FROM documents),
-b AS (SELECT idx, size, upper(substr(s, 1, 1)) || lower(substr(s, 2)) || '_' || idx AS stem, CASE WHEN idx % 2 = 0 THEN 'submissions' ELSE 'comments' END AS kind, CASE WHEN idx % 2 = 0 THEN 'comments' ELSE 'submissions' END AS other FROM d),
+b AS (SELECT idx, size, s AS owner, upper(substr(s, 1, 1)) || lower(substr(s, 2)) || '_' || idx AS stem, CASE WHEN idx % 2 = 0 THEN 'submissions' ELSE 'comments' END AS kind, CASE WHEN idx % 2 = 0 THEN 'comments' ELSE 'submissions' END AS other FROM d),
 f AS (SELECT *, stem || '_' || kind || '.zst' AS name, 'dumps/' || stem || '_' || kind || '.zst' AS path FROM b)
 """
 
@@ -125,8 +125,8 @@ def _hit(words: list[str]) -> str:
     return "(" + " OR ".join(f"(contains(lower(name), '{w}') AND (contains(name, '{w.capitalize()}') OR regexp_matches(lower(name), '(^|[^a-zA-Z]){w}')))" for w in words) + ")"
 
 
-_TRIAGE = _F + f""", t AS (SELECT idx, path, size, CASE WHEN size < 1000 THEN 'too_small' WHEN idx % 17 = 0 THEN 'trash' WHEN lower(stem) IN (SELECT lower(stem) FROM f WHERE idx % 11 = 0) THEN 'banned'
-  WHEN idx % 3 = 0 THEN 'present' WHEN {_hit(KEYWORDS)} THEN 'sensitive' ELSE 'keep' END AS reason FROM f)
+_TRIAGE = _F + f""", t AS (SELECT idx, path, size, owner, CASE WHEN size < 1000 THEN 'too_small' WHEN owner = 'mirror-2' THEN 'trash' WHEN owner = 'lab-dump-b' THEN 'banned'
+  WHEN owner >= 'q' THEN 'present' WHEN {_hit(KEYWORDS)} THEN 'sensitive' ELSE 'keep' END AS reason FROM f)
 """
 ORACLE = {
     "file_triage": _TRIAGE + "SELECT * FROM t",
@@ -139,12 +139,12 @@ g AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS idx, 0::BIGINT AS size, 0::BIGINT AS
 SELECT idx, size FROM g WHERE taken""",
     "batch_pack": _F + f"SELECT idx, size FROM f QUALIFY coalesce(sum(size) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {QUOTA}",
     "folder_rollover": _F + "SELECT idx, 3 + (row_number() OVER (ORDER BY idx) - 1 + 95) // 100 AS folder FROM f",
-    "folder_state": _F + "SELECT idx % 7 AS folder, count(*) AS n_files FROM f WHERE idx % 3 = 0 GROUP BY 1",
+    "folder_state": _F + "SELECT idx % 7 AS folder, count(*) AS n_files FROM f WHERE owner >= 'q' GROUP BY 1",
     "priority_chunks": _F + "SELECT idx, (row_number() OVER (ORDER BY idx) - 1) // 500 AS chunk FROM f",
     "running_totals": _F + "SELECT idx, size, row_number() OVER (ORDER BY idx) AS position, CAST(coalesce(sum(size) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM f",
-    "trash_sibling_delete": _F + "SELECT 'hub/pushshift_1/' || stem || '_' || other || '_cleaned.parquet' AS path FROM f WHERE idx % 17 = 0",
-    "delete_set": _F + f""", g AS (SELECT idx, 'hub/pushshift_1/' || stem || '_' || other || '_cleaned.parquet' AS path, stem || '_' || other || '_cleaned.parquet' AS name FROM f),
-h AS (SELECT DISTINCT path FROM g WHERE (idx % 17 = 0 OR {_hit(KEYWORDS[:1])}) AND idx % 5 <> 0) SELECT path, (row_number() OVER (ORDER BY path) - 1) // 100 AS batch_no FROM h""",
-    "file_states": _F + "SELECT idx, CASE WHEN idx % 4 = 3 AND idx % 6 <> 0 AND idx % 9 <> 0 THEN 'ready' WHEN idx % 4 < 3 AND idx % 2 > 0 THEN 'active' WHEN idx % 4 < 3 AND idx % 2 = 0 AND idx % 6 <> 0 AND idx % 9 <> 0 THEN 'candidate' ELSE 'idle' END AS state FROM f",
-    "folder_filter": _F + "SELECT 'hub/pushshift_' || (idx % 7) || '/' || stem || '_' || kind || '_cleaned.parquet' AS path, size FROM f WHERE idx % 3 = 0 AND idx % 7 = 2 AND idx % 2 = 0",
+    "trash_sibling_delete": _F + "SELECT 'hub/folder_1/' || stem || '_' || other || '_cleaned.parquet' AS path FROM f WHERE owner = 'mirror-2'",
+    "delete_set": _F + f""", g AS (SELECT owner, 'hub/folder_1/' || stem || '_' || other || '_cleaned.parquet' AS path, stem || '_' || other || '_cleaned.parquet' AS name FROM f),
+h AS (SELECT DISTINCT path FROM g WHERE (owner = 'mirror-2' OR {_hit(KEYWORDS[:1])}) AND owner >= 'd') SELECT path, (row_number() OVER (ORDER BY path) - 1) // 100 AS batch_no FROM h""",
+    "file_states": _F + "SELECT idx, CASE WHEN idx % 4 = 3 AND owner NOT IN ('mirror-2', 'conf-south') THEN 'ready' WHEN idx % 4 < 3 AND idx % 2 > 0 THEN 'active' WHEN idx % 4 < 3 AND idx % 2 = 0 AND owner NOT IN ('mirror-2', 'conf-south') THEN 'candidate' ELSE 'idle' END AS state FROM f",
+    "folder_filter": _F + "SELECT 'hub/folder_' || (idx % 7) || '/' || stem || '_' || kind || '_cleaned.parquet' AS path, size FROM f WHERE owner >= 'q' AND idx % 7 = 2 AND kind = 'submissions'",
 }

@@ -91,7 +91,7 @@ def total_bytes(files: DataFrame) -> DataFrame:
     return files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
-def stored_names(files: DataFrame, prefix: str = "pushshift_") -> DataFrame:
+def stored_names(files: DataFrame, prefix: str = "folder_") -> DataFrame:
     """``name`` of the stored Parquet files in numbered folders: lower case, without ending."""
     kept = files.where(F.contains("path", F.lit(f"/{prefix}")) & F.col("path").endswith(".parquet"))
     return kept.select(F.lower(F.regexp_replace(F.substring_index("path", "/", -1), r"(_cleaned)?\.parquet$", "")).alias("name")).distinct()

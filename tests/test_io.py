@@ -53,7 +53,7 @@ def test_lists_and_edges(spark, tmp_path):
         files.edge_list(spark, f"{tmp_path}/e.csv", "a", "zzz", "w", "csv")
     with pytest.raises(FileNotFoundError):
         files.edge_list(spark, f"{tmp_path}/none", "a", "b", "w")
-    stored = spark.createDataFrame([("h/pushshift_1/Ab_cleaned.parquet",), ("h/other/c.parquet",), ("h/pushshift_2/d.txt",)], "path string")
+    stored = spark.createDataFrame([("h/folder_1/Ab_cleaned.parquet",), ("h/other/c.parquet",), ("h/folder_2/d.txt",)], "path string")
     assert tuples(files.stored_names(stored)) == [("ab",)]
 
 
