@@ -226,3 +226,25 @@ def test_subjects(spark):
     none = spark.createDataFrame([(1, None)], "doc_id bigint, subject string")
     assert subjects(d, none, "doc_id", "text", "subject").isEmpty()
     assert subjects(d.limit(0), spark.createDataFrame(seeds_, "doc_id bigint, subject string"), "doc_id", "text", "subject").isEmpty()
+
+
+@pytest.mark.parametrize("share", [0.1, 0.33, 0.6])
+def test_subjects_whatever_their_share(spark, share):
+    """Ten subjects, one on a tenth, a third or most of the labels: each links its documents, and ordinary words don't."""
+    rng = random.Random(9)
+    names = [f"{c}area" for c in "abcdefghij"]
+    vocab = {s: [f"{s}{chr(97 + i)}" for i in range(10)] for s in names}
+    plain = [f"plain{a}{b}" for a in "klmnopqrst" for b in "klmnopqrst"]
+    say = lambda s: f"the {rng.choice(plain)} has a {rng.choice(vocab[s])} and a {rng.choice(vocab[s])} at last."
+    docs, truth = [], {}
+    for i in range(500):
+        first = names[0] if rng.random() < share else rng.choice(names[1:])
+        about = {first, rng.choice(names[1:])} if i % 4 == 0 else {first}
+        body = [say(s) for s in sorted(about) for _ in range(8)] + [f"we saw {rng.choice(plain)} there."]
+        rng.shuffle(body)
+        docs.append((i, " ".join(body)))
+        truth[i] = about
+    seeds_ = [(i, rng.choice(names) if rng.random() < 0.05 else s) for i, about in truth.items() if i < 250 for s in sorted(about)]
+    found = subjects(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(seeds_, "doc_id bigint, subject string"), "doc_id", "text", "subject").collect()
+    got = {i: {r.subject for r in found if r.doc_id == i} for i in truth}
+    assert sum(got[i] == truth[i] for i in range(250, 500)) >= 0.95 * 250
