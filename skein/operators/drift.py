@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -249,12 +251,16 @@ MOST_NAMES = 10_000
 
 
 def unified(parsed: DataFrame, fields: DataFrame, renames: DataFrame | None = None, aliases: dict[str, tuple[str, ...]] = ALIASES) -> DataFrame:
-    """All records as one table: series, file_no and the fields of ``aliases``, typed.
+    """All records as one table: series, file_no, the fields of ``aliases``, typed, and ``other_fields``.
 
-    ``fields`` is the catalogue of ``parsed``. The casts are generated from the alias table,
+    ``other_fields`` (map of name to text) has the values of every field outside ``aliases`` that
+    belongs to at least one file, by the rule of :func:`lifespans`, wherever a record carries it.
+    Spellings of such a name and names joined by a rename go under that with most records, unless
+    a file has several of them side by side: then each keeps its own. ``fields`` is the catalogue of ``parsed``. The casts are generated from the alias table,
     widened by the names found in ``renames`` (rows of :func:`changes`). Names that differ only
     in case or signs are one name. A field takes its first name that has a value; an absent,
-    null or uncastable value is null; stray fields are left out. The driver gets the distinct
+    null or uncastable value is null (and has no entry in the map); only strays, fields that
+    belong to no file, are left out. The driver gets the distinct
     field names and renames, whose number is checked.
     """
     concept = {_plain(n): c for c, names in aliases.items() for n in names}
@@ -271,6 +277,41 @@ def unified(parsed: DataFrame, fields: DataFrame, renames: DataFrame | None = No
                     concept.setdefault(_plain(y), concept[_plain(x)])
         grown = len(concept) > before
     wanted = {c: sorted((n for n in seen if concept.get(_plain(n)) == c), key=lambda n: (n != c, n)) for c in aliases}
-    value = lambda n: F.nullif(F.to_json(F.try_variant_get("record", F.lit("$['" + n.replace("\\", "\\\\").replace("'", "\\'") + "']"), "variant")), F.lit("null"))
+    whole = F.try_variant_get("record", "$", "map<string,variant>")
+    # A path can't hold every name.
+    at = lambda n: F.try_variant_get("record", F.lit(f"$['{n}']"), "variant") if re.fullmatch(r"[^'\"\\?]+", n) else F.try_element_at(whole, F.lit(n))
+    value = lambda n: F.nullif(F.to_json(at(n)), F.lit("null"))
     texts = {c: F.coalesce(*map(value, names), F.lit(None).cast("string")) for c, names in wanted.items()}
-    return parsed.select("series", "file_no", *(CASTS[c](t).alias(c) for c, t in texts.items()))
+    others = [(F.lit(c), _text(F.coalesce(*map(value, names)))) for c, names in _others(fields, concept, pairs).items()]
+    entries = F.map_from_entries(F.array(*(F.struct(k.alias("key"), v.alias("value")) for k, v in others))) if others else F.create_map().cast("map<string,string>")
+    return parsed.select("series", "file_no", *(CASTS[c](t).alias(c) for c, t in texts.items()), F.map_filter(entries, lambda _, v: v.isNotNull()).alias("other_fields"))
+
+
+def _others(fields: DataFrame, concept: dict[str, str], pairs: list) -> dict[str, list[str]]:
+    """The fields that belong to a file and to no concept: the name each goes under, with its names in the order they count."""
+    there = fields.where(F.col("n_carry") * CARRIED_ONE_IN >= F.col("n_records"))
+    n = {r["field"]: r["n"] for r in there.groupBy("field").agg(F.sum("n_carry").alias("n")).collect() if _plain(r["field"]) not in concept or not _plain(r["field"])}
+    root = {name: name for name in n}
+
+    def top(name: str) -> str:
+        while root[name] != name:
+            name = root[name]
+        return name
+
+    spelled: dict[str, str] = {}
+    for name in sorted(n):
+        if _plain(name):
+            root[top(name)] = top(spelled.setdefault(_plain(name), name))
+    for a, b in pairs:
+        if a in n and b in n:
+            root[top(a)] = top(b)
+    groups: dict[str, list[str]] = {}
+    for name in sorted(n, key=lambda x: (-n[x], x)):
+        groups.setdefault(top(name), []).append(name)
+    several = [(name, g) for g, names in groups.items() if len(names) > 1 for name in names]
+    if several:
+        of = F.broadcast(fields.sparkSession.createDataFrame(several, "field string, _group string"))
+        beside = there.join(of, "field").groupBy("series", "file_no", "_group").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        for r in beside.select("_group").distinct().collect():
+            groups |= {f"{r[0]}/{name}": [name] for name in groups.pop(r[0])}
+    return {names[0]: names for names in groups.values()}

@@ -139,6 +139,21 @@ def test_drift_table(spark):
     assert no_changes.isEmpty() and none.isEmpty()
 
 
+def test_drift_table_keeps_added_fields(spark):
+    """Fields outside the alias table that belong to a file are in the table, strays are not."""
+    lines = [("s", 1, '{"name":"t3_1","seen_at":"2020-05-20","Kind":"a"}')]
+    lines += [("s", 2, f'{{"name":"t3_{i}","is_video":{v},"noted_time":"2020-05-21","kind":"b","it\'s \\"x":[1,2]{stray}}}') for i, v, stray in ((2, "true", ""), (3, "null", ""), (4, "false", ""), (5, "true", ""), (6, "true", ""), (7, "true", ',"stray":1'))]
+    lines += [("t", 1, '{"name":"t3_8","up":1,"Up":2}')]
+    raw, fields, changes = _drift(spark, lines)
+    assert ("s", 2, "renamed", "seen_at", "noted_time") in tuples(changes)
+    got = {r["name"]: r.other_fields for r in drift.unified(drift.records(raw), fields, changes).collect()}
+    both = {"noted_time": "2020-05-21", "kind": "b", "it's \"x": "[1,2]"}
+    assert got["t3_1"] == {"noted_time": "2020-05-20", "kind": "a"} and got["t3_8"] == {"up": "1", "Up": "2"}
+    assert got["t3_2"] == got["t3_7"] == both | {"is_video": "true"} and got["t3_3"] == both and got["t3_4"] == both | {"is_video": "false"}
+    raw, fields, changes = _drift(spark, [("s", 1, '{"name":"t3_1"}')])
+    assert [r.other_fields for r in drift.unified(drift.records(raw), fields, changes).collect()] == [{}]
+
+
 def _records(spark, *lines):
     return clean.parse_objects(spark.createDataFrame([(x,) for x in lines], "value string"))
 
