@@ -64,6 +64,11 @@ def quota_large_first(spark: SparkSession, sf: str) -> DataFrame:
     return m.pick_large_first(items, 5000, "idx")
 
 
+def quota_large_first_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """:func:`quota_large_first` over the whole catalogue; row-by-row SQL would be too slow there."""
+    return m.pick_large_first(_files(spark, sf), QUOTA, "idx").select("idx", "size")
+
+
 def batch_pack(spark: SparkSession, sf: str) -> DataFrame:
     """The first batch: files in order until they reach the target."""
     return m.next_batch(_files(spark, sf), QUOTA, "idx").select("idx", "size")
@@ -112,7 +117,7 @@ def folder_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    file_triage, triage_totals, keyword_sensitive, quota_small_first, quota_large_first, batch_pack, folder_rollover, folder_state, priority_chunks, running_totals, trash_sibling_delete, delete_set, file_states, folder_filter,
+    file_triage, triage_totals, keyword_sensitive, quota_small_first, quota_large_first, quota_large_first_catalogue, batch_pack, folder_rollover, folder_state, priority_chunks, running_totals, trash_sibling_delete, delete_set, file_states, folder_filter,
 )}
 
 _F = """WITH RECURSIVE d AS (SELECT doc_id AS idx, coalesce(source, 'none') AS s, coalesce(n_chars, 0) AS size FROM documents),

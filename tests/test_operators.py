@@ -11,6 +11,7 @@ from skein.operators import clean, drift, graph, manifest, migration, rank, refe
 from skein.operators.selection import key_quantiles
 from skein.operators.sequence import running
 from skein.operators.skew import hot_keys, skew_join
+from skein.plans import catalog
 
 from .conftest import tuples
 
@@ -234,6 +235,16 @@ def test_large_first_is_greedy(spark):
     assert sorted(tuples(got, "idx", "size")) == sorted(want)
 
 
+def test_large_first_over_the_catalogue(spark, sf):
+    files = [(r.idx, r.size) for r in catalog._files(spark, sf).collect()]
+    left, want = catalog.QUOTA, []
+    for i, s in sorted(files, key=lambda x: (-x[1], x[0])):
+        if s <= left:
+            want.append((i, s))
+            left -= s
+    assert sorted(tuples(catalog.QUERIES["quota_large_first_catalogue"](spark, sf), "idx", "size")) == sorted(want) and want
+
+
 def test_triage(spark):
     names = ["AskPorn_x_comments.zst", "ask_porn_submissions.zst", "askporn_submissions.zst", "Bad_comments.zst", "Old_comments.zst", "T_comments.zst"]
     files = spark.createDataFrame([(f"d/{n}", 1 << 21) for n in names] + [("d/Bad_submissions.zst", 9)], "path string, size bigint")
