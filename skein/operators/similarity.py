@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.selection import key_quantiles
@@ -97,3 +97,38 @@ def nearest(df: DataFrame, key: str, vector: str, of: object, k: int = 10) -> Da
     scored = df.where((F.col(key) != of) & F.col(vector).isNotNull()).select(F.col(key).alias("neighbour"), F.when(norm == 0, 0.0).otherwise(dot / norm).alias("similarity"))
     best = scored.orderBy(F.desc("similarity"), "neighbour").limit(k)
     return best.withColumn("position", F.row_number().over(Window.orderBy(F.desc("similarity"), "neighbour")))
+
+
+def nearest_each(df: DataFrame, key: str, vector: str, of: Column, k: int = 10, block: int = BLOCK) -> DataFrame:
+    """The ``k`` rows most similar to each row for which ``of`` is true, itself left out: query, neighbour, similarity, position.
+
+    Queries and rows are cut into blocks by a hash of the key; each block of queries meets each
+    block of rows under their own key as one matrix product, of which the ``k`` best of each query
+    leave the task. Similarities are rounded to 12 places, so that equal vectors tie; ties go to
+    the lower key. A zero vector is similar to nothing (0). Rows without key or vector don't
+    count; keys should be unique.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(vector).alias("v"), F.coalesce(of, F.lit(False)).alias("asks")).dropna()
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("m")).first()
+    n, m = (max(1, -(-sizes[c] // block)) for c in ("n", "m"))
+    kind = rows.schema["key"].dataType.simpleString()
+    place = lambda parts: F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    asked = rows.where("asks").select("key", "v", F.lit(True).alias("asks"), place(m).alias("x"), every(n).alias("y"))
+    given = rows.select("key", "v", F.lit(False).alias("asks"), every(m).alias("x"), place(n).alias("y"))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("key")
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query": [], "neighbour": [], "similarity": []})
+        s = np.round(_unit(left["v"]) @ _unit(right["v"]).T, 12)
+        a, b = left["key"].to_numpy(), right["key"].to_numpy()
+        s[np.equal.outer(a, b)] = -np.inf
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(s, top, 1)
+        i, j = np.nonzero(found > -np.inf)
+        return pd.DataFrame({"query": a[i], "neighbour": b[top[i, j]], "similarity": found[i, j]})
+
+    scored = asked.unionByName(given).groupBy("x", "y").applyInPandas(best, f"query {kind}, neighbour {kind}, similarity double")
+    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
+    return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)

@@ -52,6 +52,11 @@ def knn_top10(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.nearest(_vectors(spark, sf), "vec_id", "embedding", 0).withColumn("similarity", F.round("similarity", 6))
 
 
+def knn_top10_each(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 100, among all vectors."""
+    return similarity.nearest_each(_vectors(spark, sf), "vec_id", "embedding", F.col("vec_id") % 100 == 0).withColumn("similarity", F.round("similarity", 6))
+
+
 def node_degree(spark: SparkSession, sf: str) -> DataFrame:
     return graph.degrees(_edges(spark, sf)).select("node", "degree", F.round("weighted_degree", 6).alias("weighted_degree"))
 
@@ -106,7 +111,7 @@ def community_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    centroids, centroid_pairs, sim_edges_threshold, sim_edges_p97, pair_dedup, knn_top10, node_degree, weighted_degree_top, graph_summary, connected_components, community_components, subgraph_topn,
+    centroids, centroid_pairs, sim_edges_threshold, sim_edges_p97, pair_dedup, knn_top10, knn_top10_each, node_degree, weighted_degree_top, graph_summary, connected_components, community_components, subgraph_topn,
     styled_nodes, styled_edges, similarity_checks, embed_titles, community_vectors,
 )}
 

@@ -12,6 +12,7 @@ from skein.operators.selection import key_quantiles
 from skein.operators.sequence import running
 from skein.operators.skew import hot_keys, skew_join
 from skein.plans import catalog
+from skein.plans import similarity as plans
 
 from .conftest import tuples
 
@@ -312,6 +313,27 @@ def test_similarity(spark):
     assert near == sorted((i for i in range(40) if i != 5), key=lambda i: -(u[i] @ u[5]))[:4]
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_nearest_of_each_query(spark, block):
+    rng = random.Random(12)
+    vectors = {i: [rng.uniform(-1, 1) for _ in range(6)] for i in range(50)} | {50: [0.0] * 6}
+    vectors |= {60 + i: vectors[3] for i in range(4)}
+    df = spark.createDataFrame([*vectors.items(), (70, None), (None, [1.0] * 6)], "k int, v array<double>")
+    unit = lambda v: [x / (math.sqrt(sum(y * y for y in v)) or 1.0) for x in v]
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(unit(vectors[a]), unit(vectors[b]), strict=True)), 9)
+    want = [(q, n, p + 1) for q in range(0, 71, 5) if q in vectors for p, n in enumerate(sorted((i for i in vectors if i != q), key=lambda i: (-cosine(q, i), i))[:4])]
+    got = similarity.nearest_each(df, "k", "v", F.col("k") % 5 == 0, 4, block)
+    assert sorted(tuples(got, "query", "neighbour", "position")) == sorted(want)
+    assert similarity.nearest_each(df, "k", "v", F.lit(False), 4).isEmpty()
+
+
+def test_knn_of_every_hundredth(spark, sf):
+    """Every vector whose id is divisible by 100 has its ten."""
+    got = tuples(plans.QUERIES["knn_top10_each"](spark, sf), "query", "position")
+    asked = [r[0] for r in plans._vectors(spark, sf).where("vec_id % 100 = 0").select("vec_id").collect()]
+    assert got == sorted(((q, p) for q in asked for p in range(1, 11)), key=repr) and asked
+
+
 def test_migration(spark):
     rows = [("u", "A", "pre"), ("u", "A", "pre"), ("u", "B", "pre"), ("u", "B", "post"), ("v", "A", "pre"), ("v", "A", "post"), ("w", "C", None)]
     df = spark.createDataFrame(rows, "e string, c string, p string")
