@@ -136,7 +136,15 @@ def recover_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def title_prepare(spark: SparkSession, sf: str) -> DataFrame:
     """Titles tidied, cut to 200 characters and counted; composition left out, so that SQL can follow."""
-    s = _subs(spark, sf, "name", "title").distinct().select("name", t.tidy(F.col("title")).alias("title"))
+    return _prepared(_subs(spark, sf, "name", "title").distinct().select("name", t.tidy(F.col("title")).alias("title")))
+
+
+def title_prepare_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole preparation: titles composed and tidied, sifted, cut to 200 characters and counted."""
+    return _prepared(_subs(spark, sf, "name", "title").distinct().select("name", t.normalize_title(F.col("title")).alias("title")))
+
+
+def _prepared(s: DataFrame) -> DataFrame:
     s = clean.valid_titles(s).withColumn("title_for_embedding", t.soft_truncate(F.col("title")))
     n = t.token_count(F.col("title_for_embedding"))
     return s.select("name", "title_for_embedding", n.alias("token_len"), (F.length("title") > 200).alias("truncated_by_chars"), (n > 64).alias("truncated_by_tokens"))
@@ -193,7 +201,7 @@ def windowed_events(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     co_author_edges, co_author_top20, co_member_edges, jaccard_overlap, communities_per_author, crosspost_edges, crosspost_top20, bot_filter, quality_filter, missing_normalize, date_clean,
-    clean_submissions, clean_comments, json_events, topk_per_group, top_quality_posts, rank_check, embedding_input_check, recover_key, recover_stats, title_prepare, title_normalize, title_demojize,
+    clean_submissions, clean_comments, json_events, topk_per_group, top_quality_posts, rank_check, embedding_input_check, recover_key, recover_stats, title_prepare, title_prepare_whole, title_normalize, title_demojize,
     table_counts, group_stats, pre_post_activity, transition_matrix, period_overlap, windowed_events,
 )}
 

@@ -1,7 +1,10 @@
 import math
 import random
+import re
+import unicodedata
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from skein.functions import cleaning as c
@@ -11,7 +14,7 @@ from skein.operators import clean, drift, graph, manifest, migration, rank, refe
 from skein.operators.selection import key_quantiles
 from skein.operators.sequence import running
 from skein.operators.skew import hot_keys, skew_join
-from skein.plans import catalog
+from skein.plans import catalog, community
 from skein.plans import similarity as plans
 
 from .conftest import tuples
@@ -334,6 +337,32 @@ def test_knn_of_every_hundredth(spark, sf):
     assert got == sorted(((q, p) for q in asked for p in range(1, 11)), key=repr) and asked
 
 
+def _prepare(title):
+    """The preparation in plain Python: title, tokens, cut by characters, cut by tokens; None where it is left out."""
+    seen = "".join(" " if ch in "\t\n\r" else ch for ch in unicodedata.normalize("NFKC", title) if ch in "\t\n\r" or not unicodedata.category(ch).startswith("C"))
+    seen = re.sub(r"\s+", " ", seen).strip()
+    if seen.lower() in ("", "none", "null", "nan", "[deleted]") or len(seen) < 15:
+        return None
+    cut = seen
+    if len(seen) > 200:
+        cut = seen[:200].rstrip()
+        last = cut.rfind(" ")
+        cut = cut if last <= 100 else cut[:last].rstrip()
+    word = r"\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\u200c\u200d"  # what the reference's tokenizer takes for one, marks included
+    n = len(regex.findall(rf"[{word}]+|[^{word}\s]+", cut))
+    return cut, n, len(seen) > 200, n > 64
+
+
+def test_title_preparation_is_whole(spark, tmp_path):
+    """Composition comes first, so that length, cut and token count follow from the composed title."""
+    titles = ["Ｆｕｌｌ ｗｉｄｔｈ ｔｉｔｌｅ ｈｅｒｅ", "ﬃﬃﬃﬃﬃ", "Ａ short one", "e\u0301" * 10, "ｱｲｳ ㎏ ½ and … the rest", "wait… " * 33, "x" * 99 + " " + "ﬁ" * 60, "x" * 101 + " " + "ﬁ" * 60, "a. " * 50, "ａ． " * 50, "a\tb\u200b  c\u3000d and so on ok", "looking \ufe0efor thre\ufe0fad ☕️ today", "none", "[ｄｅｌｅｔｅｄ]", "an ordinary title of a post"]
+    rows = [(f"t3_{i}", x) for i, x in enumerate(titles)]
+    spark.createDataFrame([*rows, rows[0], ("t3_null", None)], "name string, title string").write.parquet(f"{tmp_path}/submissions.parquet")
+    want = {n: _prepare(x) for n, x in rows}
+    got = {r["name"]: tuple(r)[1:] for r in community.QUERIES["title_prepare_whole"](spark, str(tmp_path)).collect()}
+    assert got == {n: w for n, w in want.items() if w} and want["t3_1"] and not want["t3_3"]
+
+
 def test_migration(spark):
     rows = [("u", "A", "pre"), ("u", "A", "pre"), ("u", "B", "pre"), ("u", "B", "post"), ("v", "A", "pre"), ("v", "A", "post"), ("w", "C", None)]
     df = spark.createDataFrame(rows, "e string, c string, p string")
