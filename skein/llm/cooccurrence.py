@@ -11,6 +11,8 @@ from skein.session import read, stage
 
 #: Items in a block of a basket; a pair of blocks is the unit of work.
 BLOCK = 64
+#: The same for authors, who are left out from 50 subreddits on: the larger of the rest are cut as well.
+AUTHOR_BLOCK = 16
 
 
 def _blocks(members: DataFrame, block: int) -> DataFrame:
@@ -80,7 +82,7 @@ def p3_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of subreddits that share authors far more often than by chance, with their weights."""
     posts = read(spark, sf_dir, "submissions", "author", "subreddit")
     keyed = posts.select(author_key("author").alias("author"), community_key("subreddit").alias("subreddit"))
-    return associations(keyed, "author", "subreddit", min_weight=8, min_lift=5, below=50)
+    return associations(keyed, "author", "subreddit", min_weight=8, min_lift=5, below=50, block=AUTHOR_BLOCK)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

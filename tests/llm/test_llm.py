@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skein.llm import cooccurrence
 from skein.llm.confusables import lookalike_pairs, skeleton, skeletons
 from skein.llm.cooccurrence import associations, pair_weights
 from skein.llm.encoding import RANKS, _encoder, decode, encode
@@ -78,6 +79,17 @@ def test_associations(spark):
     assert associations(df.limit(0), "basket", "item", 3, 1.2).isEmpty()
 
 
+def test_subreddit_pairs_meet_in_blocks(spark, tmp_path, monkeypatch):
+    """Authors below the limit of 50 subreddits are large enough to be cut, with the same pairs."""
+    rows = [(f"a{i}", f"s{j:02}") for i in range(12) for j in range(40)] + [(f"b{i}", f"t{i % 30}") for i in range(300)]
+    spark.createDataFrame(rows, "author string, subreddit string").write.parquet(f"{tmp_path}/submissions.parquet")
+    cut, blocks = [], cooccurrence._blocks
+    monkeypatch.setattr(cooccurrence, "_blocks", lambda m, n: cut.append(blocks(m, n).agg(F.max("n_blocks")).first()[0]) or blocks(m, n))
+    got = tuples(cooccurrence.p3_edges(spark, str(tmp_path)), "source", "target", "weight")
+    assert cut == [3]
+    assert got == [(f"s{i:02}", f"s{j:02}", 12) for i, j in combinations(range(40), 2)]
+
+
 def test_skeletons(spark):
     same = [("Ｆｕｌｌ ｗｉｄｔｈ", "Full width"), ("ﬁne​", "fine"), ("über", "über"), (" a  b ", "a b"), ("Ме", "Me"), ("ј­o", "jo"), ("𝐀𝐁", "AB"), ("non‑stop", "non-stop"), ("☕️", "☕"), ("wait…", "wait..."), ("͏x", "x")]
     assert all(skeleton(a) == skeleton(b) for a, b in same)
