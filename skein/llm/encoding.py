@@ -18,6 +18,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of a chunk, and how far it reaches into the next one.
 CHUNK, OVERLAP = 1 << 16, 1 << 11
+#: Chunk of an article: an ordinary one is shorter, the very long ones are cut.
+ARTICLE_CHUNK = 1 << 13
 #: A pre-token that ends at least so many characters before a chunk's end doesn't depend on what follows.
 SETTLED = 4
 
@@ -169,7 +171,7 @@ def decode(encoded: DataFrame, key: str, ids: str = "ids", ranks: str = RANKS) -
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and the ids of its text by byte_bpe_50k."""
-    return encode(read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return encode(read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", chunk=ARTICLE_CHUNK)
 
 
 def p8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:

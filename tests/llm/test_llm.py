@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import cooccurrence
+from skein.llm import cooccurrence, encoding
 from skein.llm.confusables import lookalike_pairs, skeleton, skeletons
 from skein.llm.cooccurrence import associations, pair_weights
 from skein.llm.encoding import RANKS, _encoder, decode, encode
@@ -134,6 +134,19 @@ def test_chunked_encoding_is_exact(spark, chunk, overlap):
     assert encode(df.limit(0), "doc_id", "text").isEmpty()
 
 
+def test_long_articles_are_cut(spark, tmp_path, monkeypatch):
+    """Texts as long as the longest articles go through chunks, and their ids are those of the whole text."""
+    rng = random.Random(13)
+    words = ["it's", "\\section{x}\n\n", "word ", "  and", "12345", "é漢字 ", "\r\n"]
+    rows = [(i, "".join(rng.choice(words) for _ in range(n))) for i, n in enumerate((9000, 4000, 20))] + [(3, None)]
+    assert 30_000 < len(rows[0][1]) < encoding.CHUNK
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    long, cut = [], encoding._encode_long
+    monkeypatch.setattr(encoding, "_encode_long", lambda d, *a: long.extend(r[0] for r in d.select("key").collect()) or cut(d, *a))
+    got = {r.doc_id: r.ids for r in encoding.p8_ids(spark, str(tmp_path)).collect()}
+    assert sorted(long) == [0, 1] and got == {i: _encoder(RANKS).encode_ordinary(x or "") for i, x in rows}
+
+
 def _words(text):
     return re.findall(r"[^\W_]+", re.sub(r"\\[A-Za-z]+", " ", (text or "").lower()))
 
