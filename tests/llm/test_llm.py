@@ -13,7 +13,7 @@ from skein.llm.encoding import RANKS, _encoder, decode, encode
 from skein.llm.leakage import SPAN, passages, seeds
 from skein.llm.markup import running_text, sentences
 from skein.llm.overlap import common, overlaps
-from skein.llm.subjects import subjects
+from skein.llm.subjects import _IDS, _terms, subjects
 from skein.llm.topn import best_rows, top_n
 
 from ..conftest import tuples
@@ -253,6 +253,11 @@ def test_subjects(spark):
     assert subjects(d.limit(0), spark.createDataFrame(seeds_, "doc_id bigint, subject string"), "doc_id", "text", "subject").isEmpty()
 
 
+def test_terms_of_one_crc32_differ():
+    assert _terms("We saw the plumless.") != _terms("We saw the buckeroo.")
+    assert len({_IDS[x] for x in ("plumless", "buckeroo")}) == 2 and all(-(1 << 63) <= i < 1 << 63 for i in _IDS.values())
+
+
 @pytest.mark.parametrize("share", [0.1, 0.33, 0.6])
 def test_subjects_whatever_their_share(spark, share):
     """Ten subjects, one on a tenth, a third or most of the labels: each links its documents, and ordinary words don't."""
