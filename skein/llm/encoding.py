@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,10 +17,10 @@ from skein.session import read, stage
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern by which the rank files' texts are split before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters of a chunk, and how far it reaches into the next one.
-CHUNK, OVERLAP = 1 << 16, 1 << 11
-#: Chunk of an article: an ordinary one is shorter, the very long ones are cut.
-ARTICLE_CHUNK = 1 << 13
+#: Characters of a chunk, and how far it reaches into the next one. Most articles have several chunks.
+CHUNK, OVERLAP = 1 << 10, 1 << 7
+#: A text of more characters than this has its chunks, then of this size, spread over all tasks.
+SPREAD, SPREAD_OVERLAP = 1 << 16, 1 << 11
 #: A pre-token that ends at least so many characters before a chunk's end doesn't depend on what follows.
 SETTLED = 4
 
@@ -40,18 +41,85 @@ def _splitter():
     return regex.compile(PATTERN)
 
 
+class _Ids(dict):
+    """Pre-token -> its ids; emptied when large, so a worker's memory is bounded."""
+
+    def __init__(self, ranks: str):
+        self.encode = _encoder(ranks).encode_ordinary
+
+    def __missing__(self, token: str) -> list[int]:
+        ids = self.encode(token)
+        if len(token) <= 64:
+            if len(self) > 500_000:
+                self.clear()
+            self[token] = ids
+        return ids
+
+
+_ids = lru_cache(maxsize=4)(_Ids)
+
+
+def stitched(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[list[str]]:
+    """The pre-tokens of ``text``, a list for each piece.
+
+    Chunks of ``chunk`` characters that reach ``overlap`` into the next are pre-tokenised alone.
+    A chunk may begin within a pre-token, but from the first boundary on that it shares with
+    its predecessor the two agree for good: there one piece ends and the next begins. A chunk
+    that shares none with the next is joined with it and pre-tokenised again from its last
+    boundary known to be right.
+    """
+    find, n = _splitter().findall, len(text)
+    begin, at, stop = 0, 0, min(chunk, n)
+    tokens = find(text[: stop + overlap])
+    while stop < n:
+        following = find(text[stop : stop + chunk + overlap])
+        heads, p, sure = {}, stop, min(stop + overlap, n) - SETTLED
+        for i, t in enumerate(following):
+            if p > sure:
+                break
+            heads[p] = i
+            p += len(t)
+        met, p, j = None, min(stop + overlap, n), len(tokens)
+        while j > at and p - len(tokens[j - 1]) >= stop:
+            j -= 1
+            p -= len(tokens[j])
+            if p in heads:
+                met = j, heads[p]
+        if met:
+            yield tokens[at : met[0]]
+            tokens, at, begin, stop = following, met[1], stop, min(stop + chunk, n)
+        else:  # each time twice as far, so that a long pre-token isn't read again and again
+            begin += sum(map(len, tokens[:at]))
+            stop = min(stop + max(chunk, stop - begin), n)
+            tokens, at = find(text[begin : stop + overlap]), 0
+    yield tokens[at:]
+
+
 def _pieces(texts: list[str], ranks: str) -> pa.Array:
     encode = _encoder(ranks).encode_ordinary
     return pa.array([encode(t) for t in texts], pa.list_(pa.int32()))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, k, n, text): overlapping chunks of each text."""
+def _encode_or_cut(batches: Iterator[pa.RecordBatch], ranks: str, chunk: int, overlap: int, spread: int, reach: int) -> Iterator[pa.RecordBatch]:
+    """(key, text) to (key, ids) of a text of up to ``spread`` characters, to (key, k, n, text) of each chunk of a longer one."""
+    ids = _ids(ranks)
+    names, kinds = ["ids", "k", "n", "text"], [pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.string()]
     for b in batches:
-        for key, text in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-            n = -(-len(text) // chunk)
-            for k in range(n):
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], b.schema.types[0]), pa.array([k], pa.int64()), pa.array([n], pa.int64()), pa.array([text[k * chunk : (k + 1) * chunk + overlap]])], [b.schema.names[0], "k", "n", "text"])
+        keys, rows, size = [], [], 0
+        for key, text in zip(b.column(0), b.column(1), strict=True):
+            text = text.as_py() or ""
+            n = -(-len(text) // spread)
+            if n <= 1:
+                keys.append(key.as_py())
+                rows.append((list(chain.from_iterable(map(ids.__getitem__, chain.from_iterable(stitched(text, chunk, overlap))))), None, None, None))
+            for k in range(n if n > 1 else 0):
+                keys.append(key.as_py())
+                rows.append((None, k, n, text[k * spread : (k + 1) * spread + reach]))
+                size += spread
+                if size > 1 << 24:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.types[0]), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], ["key", *names])
+                    keys, rows, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.types[0]), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], ["key", *names])
 
 
 def _bounds(text: str, chunk: int, overlap: int, first: bool, last: bool) -> tuple[list[int], list[int]]:
@@ -94,38 +162,33 @@ def _join_and_encode(batches: Iterator[pa.RecordBatch], ranks: str, chunk: int)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column("run"), pa.array(rows, pa.list_(pa.int32()))], [b.schema.names[0], "run", "ids"])
 
 
-def encode(docs: DataFrame, key: str, text: str, ranks: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, key: str, text: str, ranks: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD, reach: int = SPREAD_OVERLAP) -> DataFrame:
     """``key`` and ``ids`` (array of int): each text by the tokenizer of ``ranks``, without special tokens.
 
     A null and an empty text give an empty list. Strings of special tokens are ordinary text.
     ``key`` should be unique and not null; other columns are ignored.
 
-    A text of up to ``chunk`` characters is one chunk and encoded where it is read. A longer one
-    is cut into chunks that reach ``overlap`` characters into the next, spread over all tasks
-    and pre-tokenised alone. A chunk may begin within a pre-token, but from the first boundary on
-    that it shares with its predecessor in the overlap the two agree for good: that is where the
-    text is cut into pieces, which are encoded alone and put together in order. Where neighbours share no boundary (a
+    Every text is cut into overlapping chunks that are pre-tokenised alone, stitched where their
+    boundaries meet (:func:`stitched`), and encoded piece by piece, where it is read: the texts
+    of a corpus are read by all tasks, so nothing moves. Only a text beyond ``spread`` characters
+    would hold up its task; its chunks, then of ``spread`` characters, go to all tasks in the
+    same way, and the pieces are put together in order. Where neighbours share no boundary (a
     pre-token longer than the overlap), they are joined and split again as one; if even then the
-    end is no boundary, the document is encoded as a whole.
+    end is no boundary, the document is encoded as a whole. One pass over the texts gives the
+    finished ids and the chunks of the longest together; it is written once.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    length = F.length("text")
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _pieces(b.column(1).to_pylist(), ranks)], ["key", "ids"])
-
-    whole = rows.where(F.coalesce(length, F.lit(0)) <= chunk).select("key", F.coalesce("text", F.lit("")).alias("text"))
-    out = whole.mapInArrow(short, f"key {kind}, ids array<int>")
-    long = rows.where(length > chunk)
-    if not long.isEmpty():
-        out = out.unionByName(_encode_long(long, kind, ranks, chunk, overlap))
+    coded = rows.mapInArrow(lambda it: _encode_or_cut(it, ranks, chunk, overlap, spread, reach), f"key {kind}, ids array<int>, k bigint, n bigint, text string")
+    coded = stage(coded, "encode-ids")
+    out, cut = coded.where("k IS NULL").select("key", "ids"), coded.where("k IS NOT NULL").select("key", "k", "n", "text")
+    if not cut.isEmpty():
+        out = out.unionByName(_encode_long(cut, kind, ranks, spread, reach))
     return out.select(F.col("key").alias(key), "ids")
 
 
-def _encode_long(long: DataFrame, kind: str, ranks: str, chunk: int, overlap: int) -> DataFrame:
-    cut = long.mapInArrow(lambda it: _cut(it, chunk, overlap), f"key {kind}, k bigint, n bigint, text string")
+def _encode_long(cut: DataFrame, kind: str, ranks: str, chunk: int, overlap: int) -> DataFrame:
+    """(key, ids) from the chunks (key, k, n, text) of long texts, staged."""
     split = cut.repartition("key", "k").mapInArrow(lambda it: _split(it, chunk, overlap), f"key {kind}, k bigint, n bigint, text string, head array<bigint>, tail array<bigint>")
     split = stage(split, "encode-chunks")
     ends = split.select("key", "k", "n", "tail")
@@ -150,8 +213,9 @@ def _encode_long(long: DataFrame, kind: str, ranks: str, chunk: int, overlap: in
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), _pieces(b.column(1).to_pylist(), ranks)], ["key", "ids"])
 
-    again = long.join(lost, "key", "left_semi").select("key", "text").mapInArrow(as_whole, f"key {kind}, ids array<int>")
-    return sure.unionByName(again)
+    whole = split.join(lost, "key", "left_semi").select("key", "k", F.when(F.col("k") < F.col("n") - 1, F.substring("text", 1, chunk)).otherwise(F.col("text")).alias("text"))
+    whole = whole.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "text"))).alias("_p")).select("key", F.array_join("_p.text", "").alias("text"))
+    return sure.unionByName(whole.mapInArrow(as_whole, f"key {kind}, ids array<int>"))
 
 
 def decode(encoded: DataFrame, key: str, ids: str = "ids", ranks: str = RANKS) -> DataFrame:
@@ -171,7 +235,7 @@ def decode(encoded: DataFrame, key: str, ids: str = "ids", ranks: str = RANKS) -
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and the ids of its text by byte_bpe_50k."""
-    return encode(read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", chunk=ARTICLE_CHUNK)
+    return encode(read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def p8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import cooccurrence, encoding
+from skein.llm import cooccurrence
 from skein.llm.confusables import lookalike_pairs, skeleton, skeletons
 from skein.llm.cooccurrence import associations, pair_weights
-from skein.llm.encoding import RANKS, _encoder, decode, encode
+from skein.llm.encoding import RANKS, _encoder, _splitter, decode, encode, stitched
 from skein.llm.leakage import SPAN, passages, seeds
 from skein.llm.markup import running_text, sentences
 from skein.llm.overlap import common, overlaps
@@ -123,28 +123,36 @@ def _texts():
     return [(i, "".join(rng.choice(parts)[: rng.randrange(1, 900)] for _ in range(rng.randrange(1, 14)))) for i in range(120)] + [(1000, None), (1001, ""), (1002, " " * 5000), (1003, "b" * 5000)]
 
 
-@pytest.mark.parametrize("chunk,overlap", [(200, 20), (500, 100), (1 << 16, 1 << 11)])
-def test_chunked_encoding_is_exact(spark, chunk, overlap):
+@pytest.mark.parametrize("chunk,overlap,spread,reach", [(20, 8, 200, 20), (100, 30, 500, 100), (1 << 10, 1 << 7, 1 << 16, 1 << 11)])
+def test_chunked_encoding_is_exact(spark, chunk, overlap, spread, reach):
     rows = _texts()
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("ids", F.lit(1)).withColumn("k", F.lit(2))
-    coded = encode(df, "doc_id", "text", chunk=chunk, overlap=overlap).cache()
+    coded = encode(df, "doc_id", "text", chunk=chunk, overlap=overlap, spread=spread, reach=reach).cache()
     whole = _encoder(RANKS).encode_ordinary
     assert {r.doc_id: r.ids for r in coded.collect()} == {i: whole(x or "") for i, x in rows}
     assert {r.doc_id: r.text for r in decode(coded, "doc_id").collect()} == {i: x or "" for i, x in rows}
     assert encode(df.limit(0), "doc_id", "text").isEmpty()
 
 
-def test_long_articles_are_cut(spark, tmp_path, monkeypatch):
-    """Texts as long as the longest articles go through chunks, and their ids are those of the whole text."""
+@pytest.mark.parametrize("chunk,overlap", [(7, 6), (16, 8), (50, 12), (200, 40), (1 << 10, 1 << 7)])
+def test_chunks_meet(chunk, overlap):
+    """Stitched pre-tokens are those of the whole text, whatever the chunks, one pre-token of a megabyte included."""
+    for text in [x or "" for _, x in _texts()] + ["x" * 300 + " y" * 40, "a'rea 're" * 30]:
+        assert [t for piece in stitched(text, chunk, overlap) for t in piece] == _splitter().findall(text)
+
+
+def test_long_texts_are_cut(spark):
+    """Texts beyond the limit go through spread chunks, a pre-token of a megabyte too; their ids are those of the whole text."""
     rng = random.Random(13)
     words = ["it's", "\\section{x}\n\n", "word ", "  and", "12345", "é漢字 ", "\r\n"]
-    rows = [(i, "".join(rng.choice(words) for _ in range(n))) for i, n in enumerate((9000, 4000, 20))] + [(3, None)]
-    assert 30_000 < len(rows[0][1]) < encoding.CHUNK
-    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    long, cut = [], encoding._encode_long
-    monkeypatch.setattr(encoding, "_encode_long", lambda d, *a: long.extend(r[0] for r in d.select("key").collect()) or cut(d, *a))
-    got = {r.doc_id: r.ids for r in encoding.p8_ids(spark, str(tmp_path)).collect()}
-    assert sorted(long) == [0, 1] and got == {i: _encoder(RANKS).encode_ordinary(x or "") for i, x in rows}
+    rows = [(i, "".join(rng.choice(words) for _ in range(n))) for i, n in enumerate((90_000, 20_000, 20))] + [(3, None), (4, "-" * 1_000_000)]
+    got = {r.doc_id: r.ids for r in encode(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()}
+    assert got == {i: _encoder(RANKS).encode_ordinary(x or "") for i, x in rows}
+
+
+def test_most_articles_have_several_chunks(spark, sf):
+    texts = [r[0] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    assert sum(len(list(stitched(x))) > 1 for x in texts) > len(texts) / 2
 
 
 def _words(text):
