@@ -9,15 +9,14 @@ from skein.functions.keys import author_key, community_key
 from skein.operators.skew import skew_join
 from skein.session import read, stage
 
-#: Items in a block of a basket; a pair of blocks is the unit of work.
-BLOCK = 64
-#: The same for authors, who are left out from 50 subreddits on: the larger of the rest are cut as well.
-AUTHOR_BLOCK = 16
+#: Items in a block of a basket; a pair of blocks is the unit of work. Many ordinary baskets have several.
+#: The blocks of a basket of n items have sqrt(n), up to the second figure, if that is more.
+BLOCK, LARGEST_BLOCK = 8, 1024
 
 
 def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """(basket, n_blocks, block, items): the items of a basket, in blocks of about ``block``."""
-    n = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
+    """(basket, n_blocks, block, items): the items of a basket, in blocks of about ``block`` or, in large baskets, the root of their number."""
+    n = F.ceil(F.col("size") / F.greatest(F.lit(block), F.least(F.sqrt("size"), F.lit(LARGEST_BLOCK)))).cast("int")
     cut = members.select("basket", "item", n.alias("n_blocks"))
     cut = cut.withColumn("block", F.when(F.col("n_blocks") > 1, F.pmod(F.xxhash64("item"), F.col("n_blocks").cast("bigint"))).otherwise(0).cast("int"))
     return cut.groupBy("basket", "n_blocks", "block").agg(F.sort_array(F.collect_list("item")).alias("items"))
@@ -26,29 +25,33 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
 def pair_weights(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """In how many baskets each two items meet: source, target (source < target), weight.
 
-    ``members`` has basket, item, ``size`` (items of the basket, or more), each member once. An
-    ordinary basket is one block and its pairs are made in place. A huge one is cut into blocks
-    by a hash of its items; each two blocks meet under their own key, so the products of one
-    basket spread over all tasks, none larger than block x block. Pairs are counted map-side
-    before they move. Items compare by code point.
+    ``members`` has basket, item, ``size`` (items of the basket, or more), each member once.
+    Every basket is cut into blocks of about ``block`` items (of sqrt(n), at most 1,024, in a
+    large one of n, which then moves n^1.5 items) by a hash of its items. Pairs within
+    a block are made in place; each two blocks of a basket meet under their own key, so the
+    products of a huge basket spread over all tasks. Pairs
+    are counted map-side before they move. Items compare by code point.
     """
-    blocks = _blocks(members, block)
-    split = stage(blocks.where("n_blocks > 1"), "cooccurrence-blocks") if not members.where(F.col("size") > block).isEmpty() else None
-    inner = blocks if split is None else blocks.where("n_blocks = 1").unionByName(split)
-    first = inner.where(F.size("items") > 1).select("items", F.posexplode("items").alias("i", "source"))
-    pairs = first.select("source", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("target"))
-    if split is not None:
-        other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-        meet = split.select("basket", "block", "items", other.alias("other")).where("block <> other")
-        meet = meet.groupBy("basket", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).agg(
-            F.max(F.when(F.col("block") == F.least("block", "other"), F.col("items"))).alias("x"),
-            F.max(F.when(F.col("block") == F.greatest("block", "other"), F.col("items"))).alias("y"),
-        )
-        product = meet.select(F.explode("x").alias("p"), "y").select("p", F.explode("y").alias("q"))
-        pairs = pairs.unionByName(product.select(F.least("p", "q").alias("source"), F.greatest("p", "q").alias("target")))
+    blocks = stage(_blocks(members, block), "cooccurrence-blocks")
+    first = blocks.where(F.size("items") > 1).select("items", F.posexplode("items").alias("i", "source"))
+    inner = first.select("source", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("target"))
+    met = _block_pairs(blocks)
+    product = met.select(F.explode("x").alias("p"), "y").select("p", F.explode("y").alias("q"))
+    pairs = inner.unionByName(product.select(F.least("p", "q").alias("source"), F.greatest("p", "q").alias("target")))
     return pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def _block_pairs(blocks: DataFrame) -> DataFrame:
+    """(x, y): the items of each two blocks of one basket."""
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    meet = blocks.where("n_blocks > 1").select("basket", "block", "items", other.alias("other")).where("block <> other")
+    both = meet.groupBy("basket", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).agg(
+        F.max(F.when(F.col("block") < F.col("other"), F.col("items"))).alias("x"),
+        F.max(F.when(F.col("block") > F.col("other"), F.col("items"))).alias("y"),
+    )
+    return both.where("x IS NOT NULL AND y IS NOT NULL").select("x", "y")
+
+
 def associations(df: DataFrame, basket: str, item: str, min_weight: int, min_lift: float, below: int | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs of items that meet in ``min_weight`` baskets and ``min_lift`` times as often as by chance.
 
@@ -82,7 +85,7 @@ def p3_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of subreddits that share authors far more often than by chance, with their weights."""
     posts = read(spark, sf_dir, "submissions", "author", "subreddit")
     keyed = posts.select(author_key("author").alias("author"), community_key("subreddit").alias("subreddit"))
-    return associations(keyed, "author", "subreddit", min_weight=8, min_lift=5, below=50, block=AUTHOR_BLOCK)
+    return associations(keyed, "author", "subreddit", min_weight=8, min_lift=5, below=50)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,10 +86,17 @@ def test_subreddit_pairs_meet_in_blocks(spark, tmp_path, monkeypatch):
     cut, blocks = [], cooccurrence._blocks
     monkeypatch.setattr(cooccurrence, "_blocks", lambda m, n: cut.append(blocks(m, n).agg(F.max("n_blocks")).first()[0]) or blocks(m, n))
     got = tuples(cooccurrence.p3_edges(spark, str(tmp_path)), "source", "target", "weight")
-    assert cut == [3]
+    assert cut == [5]
     assert got == [(f"s{i:02}", f"s{j:02}", 12) for i, j in combinations(range(40), 2)]
 
 
+def test_block_pairs_of_the_real_table(spark, sf, monkeypatch):
+    met, pairs = [], cooccurrence._block_pairs
+    monkeypatch.setattr(cooccurrence, "_block_pairs", lambda b: met.append(pairs(b).count()) or pairs(b))
+    cooccurrence.p3_edges(spark, sf.replace("sf0.001", "sf0.01")).collect()
+    assert met[0] > 100
+
+
 def test_skeletons(spark):
     same = [("Ｆｕｌｌ ｗｉｄｔｈ", "Full width"), ("ﬁne​", "fine"), ("über", "über"), (" a  b ", "a b"), ("Ме", "Me"), ("ј­o", "jo"), ("𝐀𝐁", "AB"), ("non‑stop", "non-stop"), ("☕️", "☕"), ("wait…", "wait..."), ("͏x", "x")]
     assert all(skeleton(a) == skeleton(b) for a, b in same)
