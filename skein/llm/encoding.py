@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern by which the rank files' texts are split before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of a chunk, and how far it reaches into the next one. Most articles have several chunks.
-CHUNK, OVERLAP = 1 << 10, 1 << 7
+CHUNK, OVERLAP = 1 << 10, 1 << 6
 #: A text of more characters than this has its chunks, then of this size, spread over all tasks.
 SPREAD, SPREAD_OVERLAP = 1 << 16, 1 << 11
 #: A pre-token that ends at least so many characters before a chunk's end doesn't depend on what follows.
@@ -42,13 +43,13 @@ def _splitter():
 
 
 class _Ids(dict):
-    """Pre-token -> its ids; emptied when large, so a worker's memory is bounded."""
+    """Pre-token -> its ids, as the bytes of int32; emptied when large, so a worker's memory is bounded."""
 
     def __init__(self, ranks: str):
         self.encode = _encoder(ranks).encode_ordinary
 
-    def __missing__(self, token: str) -> list[int]:
-        ids = self.encode(token)
+    def __missing__(self, token: str) -> bytes:
+        ids = np.array(self.encode(token), np.int32).tobytes()
         if len(token) <= 64:
             if len(self) > 500_000:
                 self.clear()
@@ -103,23 +104,28 @@ def _pieces(texts: list[str], ranks: str) -> pa.Array:
 def _encode_or_cut(batches: Iterator[pa.RecordBatch], ranks: str, chunk: int, overlap: int, spread: int, reach: int) -> Iterator[pa.RecordBatch]:
     """(key, text) to (key, ids) of a text of up to ``spread`` characters, to (key, k, n, text) of each chunk of a longer one."""
     ids = _ids(ranks)
-    names, kinds = ["ids", "k", "n", "text"], [pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.string()]
+
+    def batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        coded = [r[1] for r in rows]
+        ends = np.cumsum([0, *(len(c) // 4 if c is not None else 0 for c in coded)], dtype=np.int32)
+        values = pa.array(np.frombuffer(b"".join(c for c in coded if c is not None), np.int32))
+        lists = pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([c is None for c in coded], pa.bool_()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), lists, *(pa.array([r[i] for r in rows], t) for i, t in ((2, pa.int64()), (3, pa.int64()), (4, pa.string())))], ["key", "ids", "k", "n", "text"])
+
     for b in batches:
-        keys, rows, size = [], [], 0
+        rows, size = [], 0
         for key, text in zip(b.column(0), b.column(1), strict=True):
-            text = text.as_py() or ""
+            key, text = key.as_py(), text.as_py() or ""
             n = -(-len(text) // spread)
             if n <= 1:
-                keys.append(key.as_py())
-                rows.append((list(chain.from_iterable(map(ids.__getitem__, chain.from_iterable(stitched(text, chunk, overlap))))), None, None, None))
+                rows.append((key, b"".join(map(ids.__getitem__, chain.from_iterable(stitched(text, chunk, overlap)))), None, None, None))
             for k in range(n if n > 1 else 0):
-                keys.append(key.as_py())
-                rows.append((None, k, n, text[k * spread : (k + 1) * spread + reach]))
+                rows.append((key, None, k, n, text[k * spread : (k + 1) * spread + reach]))
                 size += spread
                 if size > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.types[0]), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], ["key", *names])
-                    keys, rows, size = [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.types[0]), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], ["key", *names])
+                    yield batch(rows, b.schema.types[0])
+                    rows, size = [], 0
+        yield batch(rows, b.schema.types[0])
 
 
 def _bounds(text: str, chunk: int, overlap: int, first: bool, last: bool) -> tuple[list[int], list[int]]:
