@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,8 @@ CONTENT = (
     ("phrase", r'^"[^\s"]+(\s+[^\s"]+){1,2}"$'),
     ("text", r""),
 )
+#: A single value of more characters is text, of whatever kind it would be.
+LONG = 200
 
 
 #: Kinds that tell a field by themselves; fields of other kinds go on under another name only if the names are akin.
@@ -61,18 +64,36 @@ def _json_type(text: Column) -> Column:
     return F.when(first == '"', "string").when(first == "{", "object").when(first == "[", "array").when(first.isin("t", "f"), "boolean").when(first != "n", "number")
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is computed once however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def unwrapped(text: Column) -> Column:
     """The JSON text within an array of one element or an object of one key, else ``text``."""
     inner = F.regexp_extract(text, r'^(?:\[|\{"[^"]*":)("(?:[^"\\]|\\.)*"|[^\[\]{},"]+)[\]}]$', 1)
-    return F.when(inner != "", inner).otherwise(text)
+    return F.when(F.substring(text, 1, 1).isin("[", "{"), F.coalesce(F.nullif(inner, F.lit("")), text)).otherwise(text)
+
+
+def _kind(body: Column) -> Column:
+    """The first kind of CONTENT that fits; told by the first character where that is enough."""
+
+    def among(kinds: list[tuple[str, str]]) -> Column:
+        found = F.when(body.rlike(kinds[0][1]), kinds[0][0])
+        for name, pattern in kinds[1:]:
+            found = found.when(body.rlike(pattern), name)
+        return found.otherwise(CONTENT[-1][0])
+
+    first, quoted = F.substring(body, 1, 1), [k for k in CONTENT[3:-1] if '"' in k[1]]
+    plain = [k for k in quoted if '"?' in k[1]]
+    kind = F.when(first == "[", "list").when(first == "{", "record").when(first.isin("t", "f"), "flag")
+    return kind.when(F.length(body) > LONG, CONTENT[-1][0]).when(first == '"', among(quoted)).otherwise(among(plain))
 
 
-def _content(text: Column) -> Column:
-    body = unwrapped(text)
-    kind = F.when(body.rlike(CONTENT[0][1]), CONTENT[0][0])
-    for name, pattern in CONTENT[1:-1]:
-        kind = kind.when(body.rlike(pattern), name)
-    return kind.otherwise(CONTENT[-1][0])
+def _profile(text: Column) -> Column:
+    """``type`` and ``kind`` of a value's JSON text; both null for a JSON null."""
+    kind = F.when(F.substring(text, 1, 1) != "n", _bound(unwrapped(text), _kind))
+    return F.struct(_json_type(text).alias("type"), kind.alias("kind"))
 
 
 def records(raw: DataFrame, producer: str = "series", file: str = "file_no", payload: str = "payload") -> DataFrame:
@@ -96,7 +117,8 @@ def catalogue(parsed: DataFrame) -> DataFrame:
     parsed.createOrReplaceTempView("_drift_records")
     fields = spark.sql("SELECT r.series, r.file_no, e.key AS field, to_json(e.value) AS text FROM _drift_records r, LATERAL variant_explode(r.record) e")
     spark.catalog.dropTempView("_drift_records")
-    counts = fields.groupBy("series", "file_no", "field", _json_type(F.col("text")).alias("json_type"), F.when(_json_type(F.col("text")).isNotNull(), _content(F.col("text"))).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    fields = fields.select("series", "file_no", "field", _bound(F.col("text"), _profile).alias("p"))
+    counts = fields.groupBy("series", "file_no", "field", F.col("p.type").alias("json_type"), F.col("p.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     typed = counts.groupBy("series", "file_no", "field", "json_type").agg(F.sum("n").alias("n"), F.collect_list(F.struct("kind", "n")).alias("kinds"))
     best = F.min(F.when(F.col("json_type").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("json_type").alias("t"))))
     per_field = typed.groupBy("series", "file_no", "field").agg(F.sum("n").alias("n_carry"), best["t"].alias("json_type"), F.flatten(F.collect_list("kinds")).alias("content"))
@@ -174,16 +196,15 @@ def goes_on(a: str, b: str, old: dict[str, int], new: dict[str, int]) -> float |
     return names + contents if fits else None
 
 
-def _changes_of_file(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The changes of one file of one series, from its lifespan events."""
-    series, file_no = pdf["series"].iloc[0], int(pdf["file_no"].iloc[0])
+def _changes_of_file(events: list[dict]) -> list[tuple[str, str, str]]:
+    """The changes of one file of one series, from its lifespan events: kind, old and new name."""
     side: dict[str, dict[str, tuple[str, dict[str, int]]]] = {"start": {}, "end": {}}
-    for event, field, kind, content in zip(pdf["event"], pdf["field"], pdf["json_type"], pdf["content"], strict=True):
+    for e in events:
         profile: dict[str, int] = {}
-        for c in content:
+        for c in e["content"]:
             if c["kind"] is not None:
-                profile[c["kind"]] = profile.get(c["kind"], 0) + int(c["n"])
-        side[event][field] = (kind, profile)
+                profile[c["kind"]] = profile.get(c["kind"], 0) + c["n"]
+        side[e["event"]][e["field"]] = (e["json_type"], profile)
     new, old = side["start"], side["end"]
     rows = [("retyped", f, f) for f in new.keys() & old.keys() if new[f][0] and old[f][0]]
     gone, come = old.keys() - new.keys(), new.keys() - old.keys()
@@ -202,10 +223,14 @@ def _changes_of_file(pdf: pd.DataFrame) -> pd.DataFrame:
         if old[a][0] and new[b][0] and old[a][0] != new[b][0]:
             rows.append(("retyped", a, b))
     rows += [("removed", a, "") for a in gone if (0, a) not in used] + [("added", "", b) for b in come if (1, b) not in used]
-    return pd.DataFrame([(series, file_no, *r) for r in sorted(rows)], columns=["series", "file_no", "change_kind", "old_field", "new_field"])
+    return sorted(rows)
 
 
-CHANGES = "series string, file_no bigint, change_kind string, old_field string, new_field string"
+def _changes_of_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [(s, n, *row) for s, n, e in zip(*(c.to_pylist() for c in b.columns), strict=True) for row in _changes_of_file(e)]
+        columns = [pa.array([r[i] for r in found], b.schema.types[i] if i < 2 else pa.string()) for i in range(5)]
+        yield pa.RecordBatch.from_arrays(columns, ["series", "file_no", "change_kind", "old_field", "new_field"])
 
 
 def changes(events: DataFrame) -> DataFrame:
@@ -216,27 +241,27 @@ def changes(events: DataFrame) -> DataFrame:
     agree; fields without any value are judged by their names, and names of two known concepts
     are never one. One that ends and starts under its own
     name is retyped; a field that had no value on one side isn't. Each name goes into one rename at most, the most alike
-    first, ties by name. A group is the events of one file: bounded by its number of fields.
+    first, ties by name. The events of one file are one row: bounded by its number of fields.
     """
-    return events.groupBy("series", "file_no").applyInPandas(_changes_of_file, CHANGES)
+    kind = events.schema["series"].dataType.simpleString()
+    files = events.groupBy("series", "file_no").agg(F.collect_list(F.struct("event", "field", "json_type", "content")).alias("events"))
+    return files.mapInArrow(_changes_of_files, f"series {kind}, file_no bigint, change_kind string, old_field string, new_field string")
 
 
 def _text(v: Column) -> Column:
     """The plain text of a JSON text: unwrapped and without its quotes."""
-    body = unwrapped(v)
-    return F.when(F.substring(body, 1, 1) == '"', F.try_variant_get(F.try_parse_json(body), "$", "string")).when(body != "null", body)
+    plain = lambda body: F.when(F.substring(body, 1, 1) == '"', F.try_variant_get(F.try_parse_json(body), "$", "string")).when(body != "null", body)
+    return _bound(unwrapped(v), plain)
 
 
 def _time(v: Column) -> Column:
     """UTC date (YYYY-MM-DD) of epoch seconds or an ISO date, in whatever JSON type."""
-    t = _text(v)
-    epoch = F.date_format(F.timestamp_seconds(t.try_cast("double")), "yyyy-MM-dd")
-    return F.when(t.rlike(r"^[0-9]+(\.[0-9]+)?$"), epoch).otherwise(F.date_format(F.substring(t, 1, 10).try_cast("date"), "yyyy-MM-dd"))
+    epoch = lambda t: F.date_format(F.timestamp_seconds(t.try_cast("double")), "yyyy-MM-dd")
+    return _bound(_text(v), lambda t: F.when(t.rlike(r"^[0-9]+(\.[0-9]+)?$"), epoch(t)).otherwise(F.date_format(F.substring(t, 1, 10).try_cast("date"), "yyyy-MM-dd")))
 
 
 def _ratio(v: Column) -> Column:
-    t = _text(v)
-    return F.when(t.endswith("%"), F.substring_index(t, "%", 1).try_cast("double") / 100).otherwise(t.try_cast("double"))
+    return _bound(_text(v), lambda t: F.when(t.endswith("%"), F.substring_index(t, "%", 1).try_cast("double") / 100).otherwise(t.try_cast("double")))
 
 
 #: The cast of each field of the target table.
@@ -260,11 +285,13 @@ def unified(parsed: DataFrame, fields: DataFrame, renames: DataFrame | None = No
     widened by the names found in ``renames`` (rows of :func:`changes`). Names that differ only
     in case or signs are one name. A field takes its first name that has a value; an absent,
     null or uncastable value is null (and has no entry in the map); only strays, fields that
-    belong to no file, are left out. The driver gets the distinct
-    field names and renames, whose number is checked.
+    belong to no file, are left out. The driver gets the distinct names of fields that belong to
+    a file or are known, and the renames; more than :data:`MOST_NAMES` can't be columns and are an error.
     """
     concept = {_plain(n): c for c, names in aliases.items() for n in names}
-    seen = [r[0] for r in fields.select("field").distinct().orderBy("field").limit(MOST_NAMES + 1).collect()]
+    plain = F.regexp_replace(F.lower("field"), r"[^\p{L}\p{N}]", "")
+    lasting = fields.where((F.col("n_carry") * CARRIED_ONE_IN >= F.col("n_records")) | plain.isin(*concept))
+    seen = [r[0] for r in lasting.select("field").distinct().orderBy("field").limit(MOST_NAMES + 1).collect()]
     pairs = renames.where("change_kind = 'renamed'").select("old_field", "new_field").distinct().limit(MOST_NAMES + 1).collect() if renames is not None else []
     if max(len(seen), len(pairs)) > MOST_NAMES:
         raise ValueError(f"more than {MOST_NAMES} distinct field names or renames")
@@ -280,11 +307,11 @@ def unified(parsed: DataFrame, fields: DataFrame, renames: DataFrame | None = No
     whole = F.try_variant_get("record", "$", "map<string,variant>")
     # A path can't hold every name.
     at = lambda n: F.try_variant_get("record", F.lit(f"$['{n}']"), "variant") if re.fullmatch(r"[^'\"\\?]+", n) else F.try_element_at(whole, F.lit(n))
-    value = lambda n: F.nullif(F.to_json(at(n)), F.lit("null"))
+    value = lambda n: _bound(F.to_json(at(n)), lambda v: F.when(v != "null", v))
     texts = {c: F.coalesce(*map(value, names), F.lit(None).cast("string")) for c, names in wanted.items()}
-    others = [(F.lit(c), _text(F.coalesce(*map(value, names)))) for c, names in _others(fields, concept, pairs).items()]
+    others = [(F.lit(c), _bound(F.coalesce(*map(value, names)), _text)) for c, names in _others(fields, concept, pairs).items()]
     entries = F.map_from_entries(F.array(*(F.struct(k.alias("key"), v.alias("value")) for k, v in others))) if others else F.create_map().cast("map<string,string>")
-    return parsed.select("series", "file_no", *(CASTS[c](t).alias(c) for c, t in texts.items()), F.map_filter(entries, lambda _, v: v.isNotNull()).alias("other_fields"))
+    return parsed.select("series", "file_no", *(_bound(t, CASTS[c]).alias(c) for c, t in texts.items()), F.map_filter(entries, lambda _, v: v.isNotNull()).alias("other_fields"))
 
 
 def _others(fields: DataFrame, concept: dict[str, str], pairs: list) -> dict[str, list[str]]:

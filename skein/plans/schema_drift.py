@@ -24,7 +24,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One typed table of submissions from all files, whatever their fields are called."""
-    parsed = _parsed(spark, sf_dir)
+    parsed = stage(_parsed(spark, sf_dir), "drift-records")
     fields = stage(catalogue(parsed), "drift-catalogue")
     return unified(parsed, fields, changes(lifespans(fields)))
 
