@@ -34,7 +34,8 @@ def test_skew_join_is_a_join(spark, how):
     right = [("hot", "h"), *((f"k{i}", str(i)) for i in range(0, 40, 2))]
     a, b = spark.createDataFrame(left, "k string, v int"), spark.createDataFrame(right, "k string, w string")
     assert hot_keys(a, ["k"], 0.1, 10) == [("hot",)]
-    assert tuples(skew_join(a, b, ["k"], how, 0.1, 10)) == tuples(a.join(b, ["k"], how))
+    for most_bytes in (1 << 20, 0):
+        assert tuples(skew_join(a, b, ["k"], how, 0.1, 10, most_bytes)) == tuples(a.join(b, ["k"], how))
 
 
 def _brute(refs, parents, match):
