@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,8 +18,12 @@ from skein.session import read, stage
 #: every position once, so a window with any one word substituted still meets by one of them.
 SPAN = 12
 IGNORED = ((0, 4, 5, 9), (1, 3, 8, 10), (2, 6, 7, 11))
-#: Seeds up to this number (32 MB) go to the executors to sift windows; more are joined without sifting.
-MOST_SEEDS = 4_000_000
+#: Seeds of one shard; each has a sieve of at most 32 MB (32 bits a seed) and its pass over the texts.
+SHARD_SEEDS, SEED_BITS = 1 << 23, 32
+#: Probes of a seed into the sieve: about 1 in 40,000 windows that match nothing passes.
+PROBES = 6
+#: Places of one seed that stand in one row.
+PLACES = 1024
 #: A line break, a markup command, or a word: a run of letters and digits.
 _TOKENS = re.compile(r"\\\\|\\[A-Za-z]+|([^\W_]+)")
 
@@ -63,27 +66,37 @@ def seeds(words: np.ndarray, span: int = SPAN, ignored: tuple = IGNORED) -> np.n
     return out
 
 
-class _Sieve:
-    """Membership of seeds in a sorted array, by a bitmap first."""
+def _probes(h: np.ndarray, bits: int, probe: int) -> np.ndarray:
+    """Which of 2^bits bits stand for the seeds ``h`` in one of the probes."""
+    return ((h ^ (h >> np.uint64(31))) * _MULT[40 + probe]) >> np.uint64(64 - bits)
 
-    BITS = 22
 
-    def __init__(self, known: np.ndarray):
-        self.known = known
-        self.bitmap = np.zeros(1 << self.BITS, bool)
-        self.bitmap[known & np.uint64((1 << self.BITS) - 1)] = True
-
-    def positions(self, h: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self.bitmap[h & np.uint64((1 << self.BITS) - 1)])
-        if not len(at) or not len(self.known):
-            return at[:0]
-        i = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
-        return at[self.known[i] == h[at]]
+def _sieve_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(hash) to (word, mask): the bits of the seeds, by words of 64."""
+    for b in batches:
+        h = b.column(0).to_numpy().view(np.uint64)
+        at = np.unique(np.concatenate([_probes(h, bits, p) for p in range(PROBES)])) if len(h) else h
+        word, first = np.unique(at >> np.uint64(6), return_index=True)
+        masks = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(masks.view(np.int64))], ["word", "mask"])
+
+
+def sieve(hashes: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of ``n`` seeds: made by all tasks and merged by words, so at most 32 MB reach the driver."""
+    bits = max(10, (max(n, 1) * SEED_BITS - 1).bit_length())
+    words = hashes.mapInArrow(lambda it: _sieve_words(it, bits), "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+    return out
 
 
-@lru_cache(maxsize=1)
-def _sieve(known) -> _Sieve:
-    return _Sieve(known.value)
+def sifted(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Positions of the hashes ``h`` that pass the sieve: all that are in it and few others."""
+    bits, at = len(known).bit_length() + 5, np.arange(len(h))
+    for p in range(PROBES):
+        place = _probes(h[at], bits, p)
+        at = at[(known[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    return at
 
 
 def _segments(batches: Iterator[pa.RecordBatch], known, around: int) -> Iterator[pa.RecordBatch]:
@@ -92,13 +105,12 @@ def _segments(batches: Iterator[pa.RecordBatch], known, around: int) -> Iterator
     ``first`` is the position of the stretch in the text, ``at`` and ``hash`` its hits. Hits
     nearer than 2 * ``around`` words share a stretch, which has ``around`` words on both sides.
     """
-    sieve = None if known is None else _sieve(known)
     for b in batches:
         keys, rows = [], []
         for key, text in zip(b.column(0), b.column(1).to_pylist(), strict=True):
             words = word_hashes(text)
             found = seeds(words)
-            hits = [(sieve.positions(h) if sieve else np.arange(len(h)), h) for h in found]
+            hits = [(sifted(known.value, h), h) for h in found]
             at = np.concatenate([p for p, _ in hits])
             if not len(at):
                 continue
@@ -157,9 +169,11 @@ def passages(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, tex
     be unique, and other columns are ignored.
 
     The seeds of all windows are made in one pass over the texts, commands and comments
-    included. Up to :data:`MOST_SEEDS` distinct item seeds (counted first) sift them where they
-    are read, so only hits leave; more items than that are joined unsifted. Hits meet the items
-    by a join on the seed, a hot seed by broadcast, and every overlap is verified word by word.
+    included, and sifted there by a Bloom filter of the items' seeds, so hits and few others
+    leave. More than :data:`SHARD_SEEDS` item seeds are divided by their hash, with a sieve and a
+    pass for each part. Hits meet the items by a join on the seed; the places of a seed that many
+    items have are cut into rows of about :data:`PLACES`, hot seeds and hot items meet by
+    :func:`skew_join`, and every overlap is verified word by word.
     """
     spark = docs.sparkSession
     kinds = {k: df.schema[c].dataType.simpleString() for k, df, c in (("key", docs, doc_key), ("item", items, item_key))}
@@ -167,22 +181,35 @@ def passages(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, tex
     grain = stage(asked.mapInPandas(_item_seeds, f"item {kinds['item']}, pos bigint, hash bigint"), "leakage-seeds")
     item_words = stage(asked.mapInPandas(_item_words, f"item {kinds['item']}, item_words array<bigint>"), "leakage-items")
     around = (item_words.agg(F.max(F.size("item_words"))).first()[0] or 0) + SPAN
-    distinct = grain.select("hash").distinct()
-    known = None
-    if distinct.count() <= MOST_SEEDS:
-        known = spark.sparkContext.broadcast(np.unique(distinct.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)))
+    places = grain.groupBy("hash").agg(F.ceil(F.count(F.lit(1)) / PLACES).alias("n_parts"))
+    places = stage(places, "leakage-places")
+    n = places.count()
+    shards = max(1, -(-n // SHARD_SEEDS))
     rows = docs.select(F.col(doc_key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
-    found = stage(rows.mapInArrow(lambda it: _segments(it, known, around), f"key {kinds['key']}, first bigint, words array<bigint>, at array<bigint>, hash array<bigint>"), "leakage-hits")
-    hits = found.select("key", "first", F.explode(F.arrays_zip("at", "hash")).alias("h")).select("key", "first", F.col("h.at").alias("at"), F.col("h.hash").alias("hash"))
-    places = grain.groupBy("hash").agg(F.collect_list(F.struct("item", "pos")).alias("places"))
-    met = skew_join(hits, places, ["hash"]).select("key", "first", "at", F.explode("places").alias("p"))
-    lines = met.select("key", "first", F.col("p.item").alias("item"), (F.col("at") - F.col("p.pos")).alias("shift")).distinct()
-    full = lines.join(found.select("key", "first", "words"), ["key", "first"]).join(item_words, "item").select("key", "item", "shift", "words", "item_words")
+    lines = None
+    for shard in range(shards):
+        own = places if shards == 1 else places.where(F.pmod("hash", F.lit(shards)) == shard)
+        known = spark.sparkContext.broadcast(sieve(own.select("hash"), -(-n // shards)))
+        found = rows.mapInArrow(lambda it, known=known: _segments(it, known, around), f"key {kinds['key']}, first bigint, words array<bigint>, at array<bigint>, hash array<bigint>")
+        part = _lines(stage(found, "leakage-hits"), grain, own)
+        lines = part if lines is None else lines.unionByName(part)
+    full = skew_join(stage(lines, "leakage-lines"), item_words, ["item"]).select("key", "item", "shift", "words", "item_words")
     checked = full.mapInPandas(_verify, f"key {kinds['key']}, item {kinds['item']}, n_equal bigint, longest_run bigint, n_words bigint")
     best = checked.groupBy("key", "item").agg(F.max("n_equal").alias("n_equal"), F.max("longest_run").alias("longest_run"), F.max("n_words").alias("n_words"))
     return best.select(F.col("key").alias(doc_key), F.col("item").alias(item_key), "n_equal", "longest_run", "n_words")
 
 
+def _lines(found: DataFrame, grain: DataFrame, places: DataFrame) -> DataFrame:
+    """(key, item, shift, words): each diagonal on which a stretch of words shares a seed with an item."""
+    hits = found.select("key", "first", F.explode(F.arrays_zip("at", "hash")).alias("h")).select("key", "first", F.col("h.at").alias("at"), F.col("h.hash").alias("hash"))
+    hits = stage(hits, "leakage-seeds-hit")
+    parts = grain.join(places, "hash").groupBy("hash", F.pmod(F.xxhash64("item", "pos"), "n_parts").alias("part")).agg(F.collect_list(F.struct("item", "pos")).alias("places"))
+    met = skew_join(hits, places, ["hash"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_parts") - 1)))
+    met = skew_join(stage(met.select("key", "first", "at", "hash", "part"), "leakage-met"), parts, ["hash", "part"]).select("key", "first", "at", F.explode("places").alias("p"))
+    shifts = met.select("key", "first", F.col("p.item").alias("item"), (F.col("at") - F.col("p.pos")).alias("shift")).distinct()
+    return shifts.join(found.select("key", "first", "words"), ["key", "first"]).select("key", "item", "shift", "words")
+
+
 def p9_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every overlap of an article with an item, substitutions allowed, with its extent."""
     docs, items = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text")

@@ -10,7 +10,7 @@ from skein.llm import cooccurrence
 from skein.llm.confusables import lookalike_pairs, skeleton, skeletons
 from skein.llm.cooccurrence import associations, pair_weights
 from skein.llm.encoding import RANKS, _encoder, _splitter, decode, encode, stitched
-from skein.llm.leakage import SPAN, passages, seeds
+from skein.llm.leakage import SPAN, passages, seeds, sieve, sifted
 from skein.llm.markup import running_text, sentences
 from skein.llm.overlap import common, overlaps
 from skein.llm.subjects import _IDS, _terms, subjects
@@ -206,11 +206,37 @@ def test_seeds_bear_one_substitution():
     assert seeds(a[:11]).shape == (3, 0)
 
 
-def test_unsifted_seeds_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("name,value", [("SHARD_SEEDS", 2), ("PLACES", 1)])
+def test_seeds_in_shards_and_places_in_parts(spark, monkeypatch, name, value):
     docs = spark.createDataFrame([(1, "x " + " ".join(f"w{i}" for i in range(14))), (2, "no")], "doc_id bigint, text string")
-    items = spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(13)))], "item_id bigint, text string")
-    monkeypatch.setattr("skein.llm.leakage.MOST_SEEDS", 0)
-    assert tuples(passages(docs, items, "doc_id", "item_id")) == [(1, 7, 13, 13, 13)]
+    items = spark.createDataFrame([(i, " ".join(f"w{i}" for i in range(13))) for i in (7, 8, 9)], "item_id bigint, text string")
+    monkeypatch.setattr(f"skein.llm.leakage.{name}", value)
+    assert tuples(passages(docs, items, "doc_id", "item_id")) == [(1, i, 13, 13, 13) for i in (7, 8, 9)]
+
+
+def test_sieve(spark):
+    h = np.random.default_rng(5).integers(0, 1 << 63, 60_000, dtype=np.uint64)
+    known = sieve(spark.createDataFrame([(int(x),) for x in h[:20_000]], "hash bigint"), 20_000)
+    assert known.nbytes <= 20_000 * 8
+    passed = sifted(known, h)
+    assert (passed[:20_000] == np.arange(20_000)).all() and len(passed) < 20_020
+    assert not len(sifted(sieve(spark.createDataFrame([], "hash bigint"), 0), h))
+
+
+def test_recall_by_substitutions(spark):
+    """Windows with up to one word substituted always come out; of more, those that a mask ignores together."""
+    rng = random.Random(21)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(SPAN))) for i in range(200)]
+    for n in (0, 1, 2):
+        docs = []
+        for i, x in items:
+            words = x.split()
+            for j in rng.sample(range(SPAN), n):
+                words[j] = "other"
+            docs.append((i, " ".join(words)))
+        got = passages(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), "doc_id", "item_id")
+        found = sum(r.doc_id == r.item_id and r.n_equal == SPAN - n for r in got.collect())
+        assert found == 200 if n < 2 else found > 20
 
 
 def test_common_members():
