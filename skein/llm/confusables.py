@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -105,23 +105,45 @@ def lookalike_pairs(df: DataFrame, scope: str, name: str, text: str, block: int
 
     Texts are grouped by skeleton. Only groups of two strings or more go on, so a text repeated
     without change, however often, forms no pair. Strings of a group meet in pairs; the names of
-    a string are cut into blocks, and each two blocks are written out by a task of their own.
+    a string are cut into blocks, and each two blocks meet under a key of their own, by which
+    they are moved before their pairs are written out. Only a name with several texts can bring
+    a pair twice: only pairs of such names are compared once more.
     """
     rows = df.select(F.col(scope).alias("scope"), F.col(name).alias("name"), F.col(text).alias("text")).dropna().distinct()
     rows = stage(rows.select("scope", "name", F.md5(skeletons("text").cast("binary")).alias("look"), F.md5(F.col("text").cast("binary")).alias("string")), "confusables-looks")
     groups = rows.groupBy("scope", "look").agg(F.min("string").alias("_a"), F.max("string").alias("_b")).where("_a < _b").select("scope", "look")
     mixed = stage(skew_join(rows, groups, ["scope", "look"], "left_semi"), "confusables-mixed")
-    key = ["scope", "look", "string"]
-    strings = mixed.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).alias("n_blocks"))
-    cut = skew_join(mixed, strings, key)
-    blocks = cut.groupBy(*key, F.pmod(F.xxhash64("name"), "n_blocks").alias("block")).agg(F.collect_list("name").alias("names"))
-    a = strings.select("scope", "look", F.col("string").alias("string_a"))
-    b = strings.select("scope", "look", F.col("string").alias("string_b"))
-    met = a.join(b, ["scope", "look"]).where("string_a < string_b")
-    met = met.join(blocks.select("scope", "look", F.col("string").alias("string_a"), F.col("names").alias("x")), ["scope", "look", "string_a"])
-    met = met.join(blocks.select("scope", "look", F.col("string").alias("string_b"), F.col("names").alias("y")), ["scope", "look", "string_b"])
-    pairs = met.select("scope", F.explode("x").alias("p"), "y").select("scope", "p", F.explode("y").alias("q")).where("p <> q")
-    return pairs.select("scope", F.least("p", "q").alias("name_a"), F.greatest("p", "q").alias("name_b")).distinct()
+    several = mixed.groupBy("scope", "name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("scope", "name", F.lit(True).alias("several"))
+    strings = stage(mixed.groupBy("scope", "look", "string").agg(F.ceil(F.count(F.lit(1)) / block).alias("n_blocks")), "confusables-strings")
+    cut = skew_join(mixed, strings, ["scope", "look", "string"])
+    cut = skew_join(stage(cut, "confusables-cut"), several, ["scope", "name"], "left")
+    item = F.struct(F.coalesce("several", F.lit(False)).alias("several"), "name")
+    blocks = stage(cut.groupBy("scope", "look", "string", F.pmod(F.xxhash64("name"), "n_blocks").alias("block")).agg(F.collect_list(item).alias("names")), "confusables-blocks")
+
+    def side(s: str, names: str) -> DataFrame:
+        return blocks.select("scope", "look", F.col("string").alias(f"string_{s}"), F.col("block").alias(f"block_{s}"), F.col("names").alias(names))
+
+    def half(s: str) -> DataFrame:
+        return strings.select("scope", "look", F.col("string").alias(f"string_{s}"), F.col("n_blocks").alias(f"n_{s}"))
+
+    met = half("a").join(half("b"), ["scope", "look"]).where("string_a < string_b")
+    for s in "ab":
+        met = met.withColumn(f"block_{s}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"n_{s}") - 1)))
+    met = stage(met.drop("n_a", "n_b"), "confusables-pairs")
+    met = skew_join(met, side("a", "x"), ["scope", "look", "string_a", "block_a"])
+    met = skew_join(stage(met, "confusables-half"), side("b", "y"), ["scope", "look", "string_b", "block_b"])
+    met = stage(met.repartition("scope", "look", "string_a", "block_a", "string_b", "block_b").select("scope", "x", "y"), "confusables-met")
+
+    def product(x: Column, y: Column) -> DataFrame:
+        return met.select("scope", F.explode(x).alias("p"), y.alias("y")).select("scope", F.col("p.name").alias("p"), F.explode("y").alias("q")).select("scope", "p", F.col("q.name").alias("q"))
+
+    one, more = (lambda n: ~n["several"]), (lambda n: n["several"])
+    again = product(F.filter("x", more), F.col("y")).unionByName(product(F.filter("x", one), F.filter("y", more))).where("p <> q")
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select("scope", F.least("p", "q").alias("name_a"), F.greatest("p", "q").alias("name_b"))
+
+    return ordered(product(F.filter("x", one), F.filter("y", one))).unionByName(ordered(again).distinct())
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,8 +63,9 @@ def overlaps(df: DataFrame, group: str, member: str, min_members: int, min_jacca
     a great many sets stands at the order's end, where few sets begin. Where a set's first
     members end is read off a bounded histogram of its subtree counts. Sets that share first
     members become candidates if these and all that may follow suffice (both bounds are exact,
-    so no pair is lost). The candidates' tries are then descended together, one hash range per
-    task; what moves is a set's sorted places in that range, never an intersection.
+    so no pair is lost). The candidates' tries are then descended together, by (set, hash range):
+    a popular set meets its candidates in parts. What moves is a set's sorted places in a range
+    that both have members in, never an intersection.
     """
     kind = df.schema[group].dataType.simpleString()
     rows = stage(df.select(F.col(group).alias("item"), F.col(member).alias("member")).dropna().distinct(), "overlap-members")
@@ -102,8 +103,12 @@ def overlaps(df: DataFrame, group: str, member: str, min_members: int, min_jacca
     some = skew_join(sets.where("n_sets > 1"), asked_sets, ["item"], "left_semi").select("item", "member")
     blocks = skew_join(stage(some, "overlap-asked"), dense, ["member"]).groupBy("item", "range").agg(F.sort_array(F.collect_list("at")).alias("places"))
     blocks = stage(blocks.join(widths, "range"), "overlap-blocks")
-    met = pairs.select("source", "target").join(blocks.select(F.col("item").alias("source"), "range", "size", F.col("places").alias("x")), "source")
-    met = met.join(blocks.select(F.col("item").alias("target"), "range", F.col("places").alias("y")), ["target", "range"])
+    spans = stage(blocks.groupBy("item").agg(F.collect_list("range").alias("ranges")), "overlap-ranges")
+    met = skew_join(pairs.select("source", "target"), spans.select(F.col("item").alias("source"), F.col("ranges").alias("r")), ["source"])
+    met = skew_join(stage(met, "overlap-met"), spans.select(F.col("item").alias("target"), F.col("ranges").alias("s")), ["target"])
+    met = stage(met.select("source", "target", F.explode(F.array_intersect("r", "s")).alias("range")), "overlap-met")
+    met = skew_join(met, blocks.select(F.col("item").alias("source"), "range", "size", F.col("places").alias("x")), ["source", "range"])
+    met = skew_join(stage(met, "overlap-met"), blocks.select(F.col("item").alias("target"), "range", F.col("places").alias("y")), ["target", "range"])
     parts = met.select("source", "target", "size", "x", "y").mapInPandas(_descend, f"source {kind}, target {kind}, n bigint")
     found = parts.groupBy("source", "target").agg(F.sum("n").alias("n_common")).join(pairs, ["source", "target"])
     jaccard = F.col("n_common") / (F.col("n_source") + F.col("n_target") - F.col("n_common"))
