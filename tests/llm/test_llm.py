@@ -13,9 +13,11 @@ from skein.llm.encoding import RANKS, _encoder, _splitter, decode, encode, stitc
 from skein.llm.leakage import SPAN, passages, seeds, sieve, sifted
 from skein.llm.markup import running_text, sentences
 from skein.llm.overlap import common, overlaps
-from skein.llm.subjects import _IDS, _terms, subjects
+from skein.llm.subjects import _IDS, ORDERS, _terms, propagate, similar, subjects
 from skein.llm.topn import best_rows, top_n
 
+from skein.operators.skew import hot_keys
+
 from ..conftest import tuples
 
 
@@ -294,6 +296,33 @@ def test_subjects(spark):
     assert subjects(d.limit(0), spark.createDataFrame(seeds_, "doc_id bigint, subject string"), "doc_id", "text", "subject").isEmpty()
 
 
+def test_neighbours_are_verified(spark, monkeypatch):
+    """Every edge joins documents alike enough, whichever way the runs are cut; copies meet; edges grow with the documents."""
+    rng = random.Random(10)
+    docs = {i: frozenset(rng.sample(range(t := 40 * (i % 3), t + 40), 12)) for i in range(120)} | {200: frozenset([7777]), 201: frozenset(range(9000, 9010)), 202: frozenset(range(9000, 9010))}
+    links = spark.createDataFrame([(i, x) for i, terms in docs.items() for x in terms], "doc bigint, term bigint")
+    for least in (1, 10**9):
+        monkeypatch.setattr("skein.llm.subjects.hot_keys", lambda df, keys, least=least: hot_keys(df, keys, 0.001, least))
+        edges = {(r.doc, r.other): r.alike for r in similar(links).collect()}
+        assert all((b, a) in edges for a, b in edges) and not any(200 in e for e in edges)
+        assert len(edges) <= 2 * ORDERS * len(docs)
+        for (a, b), alike in edges.items():
+            assert len(docs[a] & docs[b]) >= 2 and abs(alike - len(docs[a] & docs[b]) / len(docs[a] | docs[b])) < 1e-6
+    assert edges[201, 202] == 1
+
+
+def test_labels_move_along_edges(spark):
+    pairs = [(1, 2), (2, 3), (3, 4), (5, 6), (7, 1), (7, 2), (7, 3)]
+    edges = spark.createDataFrame([(a, b, 1.0) for p in pairs for a, b in (p, p[::-1])], "doc bigint, other bigint, alike float")
+    label = spark.createDataFrame([(1, 1.0, 0.0), (2, 1.0, 0.0), (3, 1.0, 0.0), (7, 0.0, 1.0), (9, 0.0, 1.0)], "doc bigint, s0 double, s1 double")
+    got = {r.doc: r for r in propagate(edges, label, ["s0", "s1"], 3).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 7, 9]
+    assert got[1][1:3] == (1.0, 0.0) and got[4][1:3] == (1.0, 0.0) and got[9][1:3] == (0.0, 1.0)
+    assert got[7]._labelled == [False, False] and got[7].s1 < 0.1
+    assert got[9]._labelled == [False, True] and got[1]._labelled == [True, False]
+    assert propagate(edges, label, ["s0", "s1"], 0).count() == 5
+
+
 def test_terms_of_one_crc32_differ():
     assert _terms("We saw the plumless.") != _terms("We saw the buckeroo.")
     assert len({_IDS[x] for x in ("plumless", "buckeroo")}) == 2 and all(-(1 << 63) <= i < 1 << 63 for i in _IDS.values())
