@@ -94,7 +94,7 @@ def sifted(known: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Positions of the hashes ``h`` that pass the sieve: all that are in it and few others."""
     bits, at = len(known).bit_length() + 5, np.arange(len(h))
     for p in range(PROBES):
-        place = _probes(h[at], bits, p)
+        place = _probes(h[at] if p else h, bits, p)
         at = at[(known[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)]
     return at
 
@@ -107,27 +107,45 @@ def _segments(batches: Iterator[pa.RecordBatch], known, around: int) -> Iterator
     """
     for b in batches:
         keys, rows = [], []
-        for key, text in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-            words = word_hashes(text)
+        texts = b.column(1).to_pylist()
+        for begin, words, ends in _in_parts(texts):
+            # The seeds of several texts at once; windows that reach into the next text don't count.
             found = seeds(words)
-            hits = [(sifted(known.value, h), h) for h in found]
+            inside = np.ones(found.shape[1], bool)
+            for end in ends[:-1]:
+                inside[max(0, end - SPAN + 1) : end] = False
+            inside = np.flatnonzero(inside)
+            hits = [(inside[sifted(known.value, h[inside])], h) for h in found]
             at = np.concatenate([p for p, _ in hits])
-            if not len(at):
-                continue
             hashes = np.concatenate([h[p] for p, h in hits])
             order = np.argsort(at, kind="stable")
             at, hashes = at[order], hashes[order]
-            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * around) + 1):
-                first = max(0, int(at[part[0]]) - around)
-                last = int(at[part[-1]]) + SPAN + around
-                keys.append(key.as_py())
-                rows.append((first, words[first:last].view(np.int64), at[part] - first, hashes[part].view(np.int64)))
+            of = np.searchsorted(ends, at, side="right")
+            breaks = np.flatnonzero((np.diff(at) > 2 * around) | (np.diff(of) > 0)) + 1
+            for part in np.split(np.arange(len(at)), breaks) if len(at) else ():
+                i = of[part[0]]
+                start = ends[i - 1] if i else 0
+                first = max(start, int(at[part[0]]) - around)
+                last = min(ends[i], int(at[part[-1]]) + SPAN + around)
+                keys.append(b.column(0)[begin + int(i)].as_py())
+                rows.append((first - start, words[first:last].view(np.int64), at[part] - first, hashes[part].view(np.int64)))
         kind = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, b.schema.types[0]), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], kind) for i in (1, 2, 3))], ["key", "first", "words", "at", "hash"]
         )
 
 
+def _in_parts(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+    """Texts in parts of about ``most`` words: number of the first text, all words, and where each text ends."""
+    begin, parts, ends = 0, [], []
+    for i, text in enumerate(texts):
+        parts.append(word_hashes(text))
+        ends.append((ends[-1] if ends else 0) + len(parts[-1]))
+        if ends[-1] >= most or i == len(texts) - 1:
+            yield begin, np.concatenate(parts), ends
+            begin, parts, ends = i + 1, [], []
+
+
 def _item_seeds(pdf: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in pdf:
         for item, text in zip(b["item"], b["text"], strict=True):
