@@ -323,9 +323,14 @@ def test_labels_move_along_edges(spark):
     assert propagate(edges, label, ["s0", "s1"], 0).count() == 5
 
 
-def test_terms_of_one_crc32_differ():
-    assert _terms("We saw the plumless.") != _terms("We saw the buckeroo.")
+def test_terms():
+    terms, places = (x.to_pylist() for x in _terms(["We saw it. We saw it. It saw we it saw.", None, "", "It saw we. x"]))
+    said = [[[t[i] for i in s] for s in p] for t, p in zip(terms, places, strict=True)]
+    assert said[0][0] == said[0][1] and len(said[0][0]) == 5 and len(said[0][2]) == 6 and said[1] == said[2] == []
+    assert all(len(set(t)) == len(t) for t in terms) and len(set(said[0][0]) & set(said[3][0])) == 3
+    assert _terms(["We saw the plumless."])[0] != _terms(["We saw the buckeroo."])[0]
     assert len({_IDS[x] for x in ("plumless", "buckeroo")}) == 2 and all(-(1 << 63) <= i < 1 << 63 for i in _IDS.values())
+    assert _terms([])[0].to_pylist() == []
 
 
 @pytest.mark.parametrize("share", [0.1, 0.33, 0.6])
