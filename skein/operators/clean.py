@@ -85,3 +85,16 @@ def valid_titles(df: DataFrame, title: str = "title", least: int = 15) -> DataFr
     """Rows whose title is there, is no missing word or ``[deleted]``, and has ``least`` characters."""
     t = F.col(title)
     return df.where(t.isNotNull() & ~F.lower(t).isin(*c.MISSING, "[deleted]") & (F.length(t) >= least))
+
+
+def funnel(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
+    """step_no, step, n_in, n_kept, n_dropped: what each condition, in order, drops of what the ones before kept.
+
+    One pass that moves one row of counters per task. A null condition drops; an empty table
+    gives every step with zeros.
+    """
+    out = F.lit(len(steps) + 1)
+    for i, condition in reversed(list(enumerate(steps.values(), 1))):
+        out = F.when(~F.coalesce(condition, F.lit(False)), F.lit(i)).otherwise(out)
+    counters = [F.struct(F.lit(i).alias("step_no"), F.lit(name).alias("step"), *(F.count_if(test).alias(n) for n, test in (("n_in", F.col("_out") >= i), ("n_kept", F.col("_out") > i), ("n_dropped", F.col("_out") == i)))) for i, name in enumerate(steps, 1)]
+    return df.select(out.alias("_out")).agg(F.array(*counters).alias("_c")).select(F.explode("_c").alias("_c")).select("_c.*")

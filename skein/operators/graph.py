@@ -114,10 +114,15 @@ def styled_edges(edges: DataFrame) -> DataFrame:
 
 
 def jaccard(df: DataFrame, entity: str, community: str, below: int = 50, min_weight: int = 5) -> DataFrame:
-    """source, target, weight, jaccard: shared entities of two communities over the entities of either."""
-    kept = df.select(entity, community).dropna().distinct()
+    """source, target, weight, jaccard: shared entities of two communities over the entities of either.
+
+    Entities in ``below`` communities or more are left out of both counts.
+    """
+    pairs = stage(df.select(entity, community).dropna().distinct(), "jaccard")
+    few = pairs.groupBy(entity).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < below).select(entity)
+    kept = stage(skew_join(pairs, few, [entity], "left_semi"), "jaccard-kept")
     sizes = kept.groupBy(community).agg(F.count(F.lit(1)).alias("n"))
-    w = co_membership(df, entity, community, below, min_weight)
+    w = co_membership(kept, entity, community, below, min_weight)
     for end in ("source", "target"):
         w = w.join(sizes.select(F.col(community).alias(end), F.col("n").alias(f"n_{end}")), end)
     return w.select("source", "target", "weight", (F.col("weight") / (F.col("n_source") + F.col("n_target") - F.col("weight"))).alias("jaccard"))

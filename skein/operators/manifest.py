@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.keys import folded
 from skein.operators.sequence import running
+from skein.session import stage
 
 MIB = 1 << 20
 
@@ -68,7 +70,7 @@ def pick_large_first(files: DataFrame, quota: int, tie: str) -> DataFrame:
     Round by round: the longest run of fitting files is a prefix sum; the first file that doesn't fit is larger
     than what is left but no larger than any taken, so what is left halves with each round.
     """
-    placed = running(files, [F.desc("size"), F.asc(tie)], "size")
+    placed = stage(running(files, [F.desc("size"), F.asc(tie)], "size"), "quota-placed")
     taken, left, after = None, quota, 0
     while True:
         rest = placed.where((F.col("position") > after) & (F.col("size") <= left))
@@ -137,3 +139,24 @@ def states(files: DataFrame, processed: DataFrame, safe: DataFrame) -> DataFrame
 def in_folder(path: Column, folder: str) -> Column:
     """True for a Parquet file of submissions below ``folder``."""
     return path.startswith(folder) & path.endswith(".parquet") & F.contains(F.lower(path), F.lit("submission"))
+
+
+def map_files(df: DataFrame, community: str, stored: DataFrame, name: str) -> DataFrame:
+    """community, n_rows, path: the stored file of each community of ``df``, names compared in lower case without blanks around.
+
+    ``stored`` has ``name`` (lower case, once each) and ``path``. Rows are counted map-side before
+    the join; a community without a file keeps a null path.
+    """
+    asked = df.select(folded(community).alias("community")).dropna().groupBy("community").agg(F.count(F.lit(1)).alias("n_rows"))
+    return asked.join(stored.select(F.col(name).alias("community"), "path"), "community", "left").select("community", "n_rows", "path")
+
+
+def map_misses(mapped: DataFrame) -> DataFrame:
+    """One row: communities, those without a file, and the rows these have."""
+    gone = F.col("path").isNull()
+    return mapped.agg(F.count(F.lit(1)).alias("n_communities"), F.count_if(gone).alias("n_missing"), F.coalesce(F.sum(F.when(gone, F.col("n_rows"))), F.lit(0)).alias("n_rows_missing"))
+
+
+def in_units(size: Column, unit: str) -> Column:
+    """Bytes as MB or GB (of 1024), two places."""
+    return F.round(size / {"MB": 1 << 20, "GB": 1 << 30}[unit], 2)

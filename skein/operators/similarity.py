@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from skein.operators.selection import key_quantiles
+from skein.session import stage
 
 #: Vectors of a block; a pair of blocks is one matrix product.
 BLOCK = 1024
@@ -41,29 +42,38 @@ def cosine_pairs(df: DataFrame, key: str, vector: str, above: float | None = Non
     only what passes ``above`` leaves it. A zero vector is similar to nothing (0). Rows without
     key or vector don't count; keys should be unique.
     """
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, s, keep = _products(pdf)
+        return _pairs_of(a, b, s, keep if above is None else keep & (s > above))
+
+    blocks, kind = _block_pairs(df, key, vector, block)
+    return blocks.applyInPandas(product, f"source {kind}, target {kind}, similarity double")
+
+
+def _block_pairs(df: DataFrame, key: str, vector: str, block: int) -> tuple[GroupedData, str]:
+    """The rows (key, v, b, x, y) grouped by each two blocks x and y, and the type of the key."""
     rows = df.select(F.col(key).alias("key"), F.col(vector).alias("v")).dropna()
     n = max(1, -(-rows.count() // block))
-    kind = rows.schema["key"].dataType.simpleString()
     cut = rows.withColumn("b", F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(n)).cast("int"))
     spread = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    spread = spread.select("key", "v", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
+    return spread.select("key", "v", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y")).groupBy("x", "y"), rows.schema["key"].dataType.simpleString()
 
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        left, right = pdf[pdf["b"] == x], pdf[pdf["b"] == y]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"source": [], "target": [], "similarity": []})
-        s = _unit(left["v"]) @ _unit(right["v"]).T
-        a, b = left["key"].to_numpy(), right["key"].to_numpy()
-        keep = np.ones(s.shape, bool) if above is None else s > above
-        if x == y:
-            keep &= np.less.outer(a, b)
-        i, j = np.nonzero(keep)
-        p, q = a[i], b[j]
-        swap = p > q
-        return pd.DataFrame({"source": np.where(swap, q, p), "target": np.where(swap, p, q), "similarity": s[i, j]})
 
-    return spread.groupBy("x", "y").applyInPandas(product, f"source {kind}, target {kind}, similarity double")
+def _products(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the rows and columns of a matrix of similarities, the matrix, and which of it are pairs."""
+    x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+    left, right = pdf[pdf["b"] == x], pdf[pdf["b"] == y]
+    a, b = left["key"].to_numpy(), right["key"].to_numpy()
+    if not len(left) or not len(right):
+        return a, b, np.zeros((len(a), len(b))), np.zeros((len(a), len(b)), bool)
+    return a, b, _unit(left["v"]) @ _unit(right["v"]).T, np.less.outer(a, b) if x == y else np.ones((len(a), len(b)), bool)
+
+
+def _pairs_of(a: np.ndarray, b: np.ndarray, s: np.ndarray, keep: np.ndarray) -> pd.DataFrame:
+    i, j = np.nonzero(keep)
+    p, q = a[i], b[j]
+    swap = p > q
+    return pd.DataFrame({"source": np.where(swap, q, p), "target": np.where(swap, p, q), "similarity": s[i, j]})
 
 
 def percentile(df: DataFrame, value: str, q: float) -> float | None:
@@ -78,10 +88,50 @@ def percentile(df: DataFrame, value: str, q: float) -> float | None:
     return row["a"] + (row["b"] - row["a"]) * (h - low)
 
 
-def edges_above_percentile(pairs: DataFrame, q: float = 0.97) -> DataFrame:
-    """The pairs whose similarity is at least the ``q`` percentile of all."""
-    threshold = percentile(pairs, "similarity", q)
-    return pairs.where(F.lit(False)) if threshold is None else pairs.where(F.col("similarity") >= threshold)
+#: Equal bins of [-1, 1] in which similarities are counted; so many counts reach the driver at most.
+BINS = 1 << 15
+
+
+def pairs_above_percentile(df: DataFrame, key: str, vector: str, q: float = 0.97, block: int = BLOCK) -> DataFrame:
+    """source, target, similarity of the pairs whose similarity is at least the ``q`` percentile of all, exactly.
+
+    As :func:`cosine_pairs`, in two passes of block products. In the first each task counts its
+    similarities in bins and only counts leave it; they tell in which bin the percentile lies. In
+    the second only pairs from that bin on are written; the percentile is selected among those
+    of its bin. No task or table ever has all pairs. Fewer than two rows give no pair.
+    """
+    blocks, kind = _block_pairs(df, key, vector, block)
+    bins = lambda s: np.clip(((s + 1) * (BINS / 2)).astype(np.int64), 0, BINS - 1)
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, s, keep = _products(pdf)
+        n = np.bincount(bins(s[keep]), minlength=BINS)
+        return pd.DataFrame({"bin": np.flatnonzero(n), "n": n[n > 0]})
+
+    counts = {r["bin"]: r["n"] for r in blocks.applyInPandas(count, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+    total = sum(counts.values())
+    h = max(total - 1, 0) * q
+    low, below, lower, upper = int(h), 0, 0, BINS
+    for at in sorted(counts):
+        lower = at if below <= low else lower
+        below += counts[at]
+        if below > min(low + 1, total - 1):
+            upper = at + 1
+            break
+    edge = lambda at: at / (BINS / 2) - 1
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, s, keep = _products(pdf)
+        return _pairs_of(a, b, s, keep & (s >= edge(lower) - 1e-9))
+
+    kept = stage(blocks.applyInPandas(product, f"source {kind}, target {kind}, similarity double"), "similarity-kept")
+    if not total:
+        return kept
+    near = kept.where(F.col("similarity") <= edge(upper) + 1e-9)
+    n, first = near.count(), low - (total - kept.count())
+    ranks = {name: (min(first + i, n - 1) + 0.5) / n for i, name in enumerate("ab")}
+    row = key_quantiles(near.select(F.lit(0).alias("_k"), F.col("similarity").alias("_x")), ["_k"], "_x", ranks).first()
+    return kept.where(F.col("similarity") >= row["a"] + (row["b"] - row["a"]) * (h - low))
 
 
 def nearest(df: DataFrame, key: str, vector: str, of: object, k: int = 10) -> DataFrame:

@@ -60,13 +60,14 @@ def quota_small_first(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quota_large_first(spark: SparkSession, sf: str) -> DataFrame:
-    items = read(spark, sf, "benchmark").select(F.col("item_id").alias("idx"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("size"))
-    return m.pick_large_first(items, 5000, "idx")
+    """The descending pick over the whole catalogue."""
+    return m.pick_large_first(_files(spark, sf), QUOTA, "idx").select("idx", "size")
 
 
-def quota_large_first_catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    """:func:`quota_large_first` over the whole catalogue; row-by-row SQL would be too slow there."""
-    return m.pick_large_first(_files(spark, sf), QUOTA, "idx").select("idx", "size")
+def owner_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of each owner and their size in bytes, MB and GB."""
+    n = _files(spark, sf).groupBy("owner").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"))
+    return n.select("*", m.in_units(F.col("bytes"), "MB").alias("mb"), m.in_units(F.col("bytes"), "GB").alias("gb"))
 
 
 def batch_pack(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,7 +118,7 @@ def folder_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    file_triage, triage_totals, keyword_sensitive, quota_small_first, quota_large_first, quota_large_first_catalogue, batch_pack, folder_rollover, folder_state, priority_chunks, running_totals, trash_sibling_delete, delete_set, file_states, folder_filter,
+    file_triage, triage_totals, keyword_sensitive, quota_small_first, quota_large_first, owner_sizes, batch_pack, folder_rollover, folder_state, priority_chunks, running_totals, trash_sibling_delete, delete_set, file_states, folder_filter,
 )}
 
 _F = """WITH RECURSIVE d AS (SELECT doc_id AS idx, coalesce(source, 'none') AS s, coalesce(n_chars, 0) AS size FROM documents),
@@ -138,10 +139,11 @@ ORACLE = {
     "triage_totals": _TRIAGE + "SELECT reason, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM t GROUP BY reason",
     "keyword_sensitive": _F + f"SELECT idx, path FROM f WHERE {_hit(KEYWORDS)}",
     "quota_small_first": _F + f"SELECT idx, size FROM f QUALIFY sum(size) OVER (ORDER BY size, idx ROWS UNBOUNDED PRECEDING) <= {QUOTA}",
-    "quota_large_first": """WITH RECURSIVE o AS (SELECT item_id AS idx, coalesce(length(text), 0) AS size, row_number() OVER (ORDER BY coalesce(length(text), 0) DESC, item_id) AS rn FROM benchmark),
+    "quota_large_first": _F + f""", o AS MATERIALIZED (SELECT idx, size, row_number() OVER (ORDER BY size DESC, idx) AS rn FROM f),
 g AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS idx, 0::BIGINT AS size, 0::BIGINT AS total, false AS taken UNION ALL
-  SELECT o.rn, o.idx, o.size, CASE WHEN g.total + o.size <= 5000 THEN g.total + o.size ELSE g.total END, g.total + o.size <= 5000 FROM g JOIN o ON o.rn = g.rn + 1)
+  SELECT o.rn, o.idx, o.size, CASE WHEN g.total + o.size <= {QUOTA} THEN g.total + o.size ELSE g.total END, g.total + o.size <= {QUOTA} FROM g JOIN o ON o.rn = g.rn + 1)
 SELECT idx, size FROM g WHERE taken""",
+    "owner_sizes": _F + "SELECT owner, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes, round(sum(size) / 1048576, 2) AS mb, round(sum(size) / 1073741824, 2) AS gb FROM f GROUP BY owner",
     "batch_pack": _F + f"SELECT idx, size FROM f QUALIFY coalesce(sum(size) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {QUOTA}",
     "folder_rollover": _F + "SELECT idx, 3 + (row_number() OVER (ORDER BY idx) - 1 + 95) // 100 AS folder FROM f",
     "folder_state": _F + "SELECT idx % 7 AS folder, count(*) AS n_files FROM f WHERE owner >= 'q' GROUP BY 1",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import cleaning as c
 from skein.functions import text as t
-from skein.operators import checks, clean, graph, migration, rank
+from skein.operators import checks, clean, graph, manifest, migration, rank
 from skein.session import read
 
 
@@ -82,9 +84,11 @@ def clean_submissions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clean_comments(spark: SparkSession, sf: str) -> DataFrame:
-    """Comments through JSON and back as canonical comments."""
-    lines = read(spark, sf, "comments").drop("ingested_at").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    return clean.clean_comments(clean.parse_objects(lines)).drop("created_utc")
+    """Comments through JSON and back as canonical comments, dated by the epoch seconds of their arrival, as raw files have them."""
+    own = read(spark, sf, "comments")
+    epoch = F.unix_seconds(F.col("ingested_at").cast("timestamp"))
+    lines = own.withColumn("created_utc", F.coalesce(epoch.cast("string"), F.col("created_utc"))).drop("ingested_at").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    return clean.clean_comments(clean.parse_objects(lines))
 
 
 def json_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,12 +138,12 @@ def recover_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rank.recover_stats(recover_key(spark, sf), "name")
 
 
-def title_prepare(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles tidied, cut to 200 characters and counted; composition left out, so that SQL can follow."""
+def title_prepare_tidied(spark: SparkSession, sf: str) -> DataFrame:
+    """The steps after composition alone, which SQL can follow: tidied, sifted, cut and counted."""
     return _prepared(_subs(spark, sf, "name", "title").distinct().select("name", t.tidy(F.col("title")).alias("title")))
 
 
-def title_prepare_whole(spark: SparkSession, sf: str) -> DataFrame:
+def title_prepare(spark: SparkSession, sf: str) -> DataFrame:
     """The whole preparation: titles composed and tidied, sifted, cut to 200 characters and counted."""
     return _prepared(_subs(spark, sf, "name", "title").distinct().select("name", t.normalize_title(F.col("title")).alias("title")))
 
@@ -199,9 +203,37 @@ def windowed_events(spark: SparkSession, sf: str) -> DataFrame:
     return windowed_counts(read(spark, sf, "events", "ts", "event_type").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
 
 
+def quality_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    """How many posts each step of the quality filter takes in, keeps and drops."""
+    texts = {f: c.missing_to_null(F.col(f)) for f in ("subreddit", "author", "title", "created_utc")}
+    s = _subs(spark, sf, *texts, "score", "num_comments", "upvote_ratio").withColumns(texts)
+    steps = {
+        "complete": reduce(lambda a, b: a & b, (F.col(f).isNotNull() for f in s.columns)),
+        "human": clean.human_author(F.col("author")),
+        "dated": c.strict_date(F.col("created_utc")),
+        "scored": F.col("score") >= 10,
+        "discussed": F.col("num_comments") >= 3,
+        "liked": F.col("upvote_ratio") >= 0.8,
+        "titled": F.length("title") >= 15,
+    }
+    return clean.funnel(s, steps)
+
+
+def community_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The file of each community in the embedding input, spelled in any way, with its rows; null where there is none."""
+    asked = read(spark, sf, "title_embedding_input", "subreddit")
+    stored = _subs(spark, sf, "subreddit").dropna().select(F.lower("subreddit").alias("s")).distinct().select("s", F.concat(F.lit("subreddit="), F.col("s")).alias("path"))
+    return manifest.map_files(asked, "subreddit", stored.where("s < 'm'"), "s")
+
+
+def community_file_misses(spark: SparkSession, sf: str) -> DataFrame:
+    return manifest.map_misses(community_files(spark, sf))
+
+
 QUERIES = {f.__name__: f for f in (
+    quality_funnel, community_files, community_file_misses,
     co_author_edges, co_author_top20, co_member_edges, jaccard_overlap, communities_per_author, crosspost_edges, crosspost_top20, bot_filter, quality_filter, missing_normalize, date_clean,
-    clean_submissions, clean_comments, json_events, topk_per_group, top_quality_posts, rank_check, embedding_input_check, recover_key, recover_stats, title_prepare, title_prepare_whole, title_normalize, title_demojize,
+    clean_submissions, clean_comments, json_events, topk_per_group, top_quality_posts, rank_check, embedding_input_check, recover_key, recover_stats, title_prepare, title_prepare_tidied, title_normalize, title_demojize,
     table_counts, group_stats, pre_post_activity, transition_matrix, period_overlap, windowed_events,
 )}
 
@@ -251,13 +283,26 @@ def _long(f: str) -> str:
     return f"coalesce(CASE json_type(j, '$.{f}') WHEN 'VARCHAR' THEN CASE WHEN regexp_full_match(trim({x}), '[+-]?[0-9]+') THEN try_cast(trim({x}) AS BIGINT) END WHEN 'BOOLEAN' THEN CASE WHEN {x} = 'true' THEN 1 ELSE 0 END ELSE CAST(trunc(try_cast({x} AS DOUBLE)) AS BIGINT) END, 0) AS {f}"
 
 
+_FILES = """
+WITH t AS (SELECT lower(trim(subreddit)) AS community, count(*) AS n_rows FROM title_embedding_input WHERE subreddit IS NOT NULL GROUP BY 1),
+f AS (SELECT DISTINCT lower(subreddit) AS s FROM submissions WHERE lower(subreddit) < 'm'),
+j AS (SELECT community, n_rows, 'subreddit=' || s AS path FROM t LEFT JOIN f ON s = community)
+"""
+_STEPS = {"complete": "subreddit IS NOT NULL AND author IS NOT NULL AND title IS NOT NULL AND created_utc IS NOT NULL AND score IS NOT NULL AND num_comments IS NOT NULL AND upvote_ratio IS NOT NULL",
+          "human": "lower(author) NOT IN ('', 'none', 'null', 'nan', '[deleted]', '[removed]', 'deleted', 'removed', 'automoderator') AND NOT contains(lower(author), 'bot')", "dated": _STRICT, "scored": "score >= 10", "discussed": "num_comments >= 3", "liked": "upvote_ratio >= 0.8", "titled": "length(title) >= 15"}
+_FUNNEL = "WITH s AS (SELECT " + ", ".join(f"{_known(f)} AS {f}" for f in ("subreddit", "author", "title", "created_utc")) + ", score, num_comments, upvote_ratio FROM submissions), p AS (SELECT *, CASE " + " ".join(f"WHEN NOT coalesce({x}, false) THEN {i}" for i, x in enumerate(_STEPS.values(), 1)) + " ELSE 99 END AS out FROM s) " + " UNION ALL ".join(
+    f"SELECT {i} AS step_no, '{n}' AS step, count(*) FILTER (out >= {i}) AS n_in, count(*) FILTER (out > {i}) AS n_kept, count(*) FILTER (out = {i}) AS n_dropped FROM p" for i, n in enumerate(_STEPS, 1))
+
 ORACLE = {
+    "quality_funnel": _FUNNEL,
+    "community_files": _FILES + "SELECT * FROM j",
+    "community_file_misses": _FILES + "SELECT count(*) AS n_communities, count(*) FILTER (path IS NULL) AS n_missing, coalesce(CAST(sum(n_rows) FILTER (path IS NULL) AS BIGINT), 0) AS n_rows_missing FROM j",
     "co_author_edges": _CO + "SELECT * FROM e",
     "co_author_top20": _CO + "SELECT * FROM e ORDER BY weight DESC, source, target LIMIT 20",
     "co_member_edges": """
 WITH a AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey), k AS (SELECT * FROM a QUALIFY count(*) OVER (PARTITION BY c) < 50)
 SELECT x.s AS source, y.s AS target, count(*) AS weight FROM k x JOIN k y ON x.c = y.c AND x.s < y.s GROUP BY ALL HAVING count(*) >= 5""",
-    "jaccard_overlap": _CO + ", n AS (SELECT subreddit, count(*) AS n FROM a GROUP BY 1) SELECT source, target, weight, weight / CAST(p.n + q.n - weight AS DOUBLE) AS jaccard FROM e JOIN n p ON p.subreddit = source JOIN n q ON q.subreddit = target",
+    "jaccard_overlap": _CO + ", n AS (SELECT subreddit, count(*) AS n FROM k GROUP BY 1) SELECT source, target, weight, weight / CAST(p.n + q.n - weight AS DOUBLE) AS jaccard FROM e JOIN n p ON p.subreddit = source JOIN n q ON q.subreddit = target",
     "communities_per_author": _CO + "SELECT author, count(*) AS n_communities FROM a GROUP BY author",
     "crosspost_edges": _CROSS + "SELECT * FROM e",
     "crosspost_top20": _CROSS + "SELECT * FROM e ORDER BY weight DESC, source NULLS FIRST, target NULLS FIRST LIMIT 20",
@@ -273,7 +318,7 @@ k AS (SELECT * FROM t WHERE author NOT IN ('[deleted]', '[removed]') AND name IS
 SELECT author, CASE WHEN regexp_full_match(trim(epoch), '[+-]?[0-9]+') THEN strftime(make_timestamp(CAST(trim(epoch) AS BIGINT) * 1000000), '%Y-%m-%d') END AS created_utc,
   coalesce(j->>'$.crosspost_parent', 'None') AS crosspost_parent, coalesce(j->>'$.domain', 'None') AS domain, {_long("num_comments")}, {_long("num_crossposts")}, {_long("score")}, name,
   j->>'$.subreddit' AS subreddit, j->>'$.subreddit_id' AS subreddit_id, {_long("subreddit_subscribers")}, title, coalesce(nullif(selftext, ''), 'None') AS selftext, coalesce(try_cast(j->>'$.upvote_ratio' AS DOUBLE), 1.0) AS upvote_ratio FROM k""",
-    "clean_comments": """SELECT author, body, controversiality, score, name, parent_id, subreddit, subreddit_id, link_id FROM (SELECT * REPLACE (coalesce(controversiality, 0) AS controversiality, coalesce(score, 0) AS score) FROM comments)
+    "clean_comments": """SELECT author, body, strftime(ingested_at, '%Y-%m-%d') AS created_utc, controversiality, score, name, parent_id, subreddit, subreddit_id, link_id FROM (SELECT * REPLACE (coalesce(controversiality, 0) AS controversiality, coalesce(score, 0) AS score) FROM comments)
 WHERE author NOT IN ('[deleted]', '[removed]') AND body NOT IN ('[deleted]', '[removed]') AND link_id IS NOT NULL AND name IS NOT NULL AND parent_id IS NOT NULL""",
     "json_events": "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k FROM events",
     "topk_per_group": f"SELECT subreddit, title, score, subreddit_subscribers, domain FROM submissions WHERE {_HUMAN} QUALIFY row_number() OVER (PARTITION BY subreddit ORDER BY {_ORD}) <= 1000",
@@ -284,7 +329,7 @@ WHERE rank_in_subreddit IS NOT NULL GROUP BY subreddit HAVING first <> 1 OR last
 SELECT 'name', count(*) FILTER (name IS NULL) FROM title_embedding_input UNION ALL SELECT 'rank', count(*) FILTER (rank_in_subreddit IS NULL OR rank_in_subreddit < 1) FROM title_embedding_input""",
     "recover_key": _RECOVER + "SELECT * FROM j",
     "recover_stats": _RECOVER + "SELECT count(*) AS n_rows, count(name) AS n_found, count(*) - count(name) AS n_missed FROM j",
-    "title_prepare": rf"""
+    "title_prepare_tidied": rf"""
 WITH s AS (SELECT DISTINCT name, title FROM submissions WHERE title IS NOT NULL),
 t AS (SELECT name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '[\t\n\r]', ' ', 'g'), '[\p{{C}}]', '', 'g'), '{_SP}+', ' ', 'g'), '^ | $', '', 'g') AS title FROM s),
 v AS (SELECT name, title, regexp_replace(substring(title, 1, 200), '{_SP}+$', '') AS cut FROM t WHERE lower(title) NOT IN ('', 'none', 'null', 'nan', '[deleted]') AND length(title) >= 15),

@@ -36,7 +36,7 @@ def sim_edges_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 def sim_edges_p97(spark: SparkSession, sf: str) -> DataFrame:
     """The three percent most similar of all pairs of vectors."""
-    return similarity.edges_above_percentile(stage(_pairs(spark, sf, None), "similarity-pairs")).withColumn("similarity", F.round("similarity", 6))
+    return similarity.pairs_above_percentile(_vectors(spark, sf), "vec_id", "embedding", 0.97).withColumn("similarity", F.round("similarity", 6))
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,11 +48,12 @@ def pair_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return graph.canonical(read(spark, sf, "reddit_edges_result"))
 
 
-def knn_top10(spark: SparkSession, sf: str) -> DataFrame:
+def knn_of_one(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest of one given vector."""
     return similarity.nearest(_vectors(spark, sf), "vec_id", "embedding", 0).withColumn("similarity", F.round("similarity", 6))
 
 
-def knn_top10_each(spark: SparkSession, sf: str) -> DataFrame:
+def knn_top10(spark: SparkSession, sf: str) -> DataFrame:
     """The ten nearest of every vector whose id is divisible by 100, among all vectors."""
     return similarity.nearest_each(_vectors(spark, sf), "vec_id", "embedding", F.col("vec_id") % 100 == 0).withColumn("similarity", F.round("similarity", 6))
 
@@ -111,7 +112,7 @@ def community_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    centroids, centroid_pairs, sim_edges_threshold, sim_edges_p97, pair_dedup, knn_top10, knn_top10_each, node_degree, weighted_degree_top, graph_summary, connected_components, community_components, subgraph_topn,
+    centroids, centroid_pairs, sim_edges_threshold, sim_edges_p97, pair_dedup, knn_of_one, knn_top10, node_degree, weighted_degree_top, graph_summary, connected_components, community_components, subgraph_topn,
     styled_nodes, styled_edges, similarity_checks, embed_titles, community_vectors,
 )}
 
@@ -127,7 +128,8 @@ SELECT a.label AS source, b.label AS target, round(list_cosine_similarity(a.e, b
     "sim_edges_threshold": _P + " SELECT source, target, round(w, 4) AS similarity FROM p WHERE w > 0.3",
     "sim_edges_p97": _P + " SELECT source, target, round(w, 6) AS similarity FROM p WHERE w >= (SELECT quantile_cont(w, 0.97) FROM p)",
     "pair_dedup": _CANON + " SELECT * FROM e",
-    "knn_top10": f"WITH {_V}, s AS (SELECT b.vec_id AS neighbour, list_cosine_similarity(a.e, b.e) AS w FROM v a, v b WHERE a.vec_id = 0 AND b.vec_id <> 0 ORDER BY w DESC, neighbour LIMIT 10) SELECT neighbour, round(w, 6) AS similarity, CAST(row_number() OVER (ORDER BY w DESC, neighbour) AS INTEGER) AS position FROM s",
+    "knn_of_one": f"WITH {_V}, s AS (SELECT b.vec_id AS neighbour, list_cosine_similarity(a.e, b.e) AS w FROM v a, v b WHERE a.vec_id = 0 AND b.vec_id <> 0 ORDER BY w DESC, neighbour LIMIT 10) SELECT neighbour, round(w, 6) AS similarity, CAST(row_number() OVER (ORDER BY w DESC, neighbour) AS INTEGER) AS position FROM s",
+    "knn_top10": f"WITH {_V}, s AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, round(list_cosine_similarity(a.e, b.e), 12) AS w FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY w DESC, neighbour) AS INTEGER) AS position FROM s) SELECT query, neighbour, round(w, 6) AS similarity, position FROM r WHERE position <= 10",
     "node_degree": _E + " SELECT node, degree, round(weighted_degree, 6) AS weighted_degree FROM d",
     "weighted_degree_top": _E + " SELECT node, degree, round(weighted_degree, 6) AS weighted_degree FROM d ORDER BY d.weighted_degree DESC, node LIMIT 15",
     "graph_summary": _E + _REACH + """, z AS (SELECT component, count(*) AS n FROM c GROUP BY 1), g AS (SELECT CAST(sum(n) AS BIGINT) AS nodes, count(*) AS components, max(n) AS largest FROM z),

@@ -247,7 +247,7 @@ def test_large_first_over_the_catalogue(spark, sf):
         if s <= left:
             want.append((i, s))
             left -= s
-    assert sorted(tuples(catalog.QUERIES["quota_large_first_catalogue"](spark, sf), "idx", "size")) == sorted(want) and want
+    assert sorted(tuples(catalog.QUERIES["quota_large_first"](spark, sf), "idx", "size")) == sorted(want) and want
 
 
 def test_triage(spark):
@@ -333,7 +333,7 @@ def test_nearest_of_each_query(spark, block):
 
 def test_knn_of_every_hundredth(spark, sf):
     """Every vector whose id is divisible by 100 has its ten."""
-    got = tuples(plans.QUERIES["knn_top10_each"](spark, sf), "query", "position")
+    got = tuples(plans.QUERIES["knn_top10"](spark, sf), "query", "position")
     asked = [r[0] for r in plans._vectors(spark, sf).where("vec_id % 100 = 0").select("vec_id").collect()]
     assert got == sorted(((q, p) for q in asked for p in range(1, 11)), key=repr) and asked
 
@@ -360,7 +360,7 @@ def test_title_preparation_is_whole(spark, tmp_path):
     rows = [(f"t3_{i}", x) for i, x in enumerate(titles)]
     spark.createDataFrame([*rows, rows[0], ("t3_null", None)], "name string, title string").write.parquet(f"{tmp_path}/submissions.parquet")
     want = {n: _prepare(x) for n, x in rows}
-    got = {r["name"]: tuple(r)[1:] for r in community.QUERIES["title_prepare_whole"](spark, str(tmp_path)).collect()}
+    got = {r["name"]: tuple(r)[1:] for r in community.QUERIES["title_prepare"](spark, str(tmp_path)).collect()}
     assert got == {n: w for n, w in want.items() if w} and want["t3_1"] and not want["t3_3"]
 
 
