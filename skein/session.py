@@ -55,14 +55,20 @@ def sweep(spark: SparkSession) -> int:
     return n
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, deleted by :func:`sweep`."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
 def stage(df: DataFrame, what: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
     Parquet rather than ``checkpoint()``: compressed, and later reads prune columns and rows.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    path = scratch(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from skein.functions.keys import strip
 from skein.operators.clean import clean_comments, clean_submissions, parse_objects
 
 
@@ -47,17 +50,47 @@ def parquet_set(spark: SparkSession, path: str, *columns: str, merge: bool = Fal
 
 
 def compatible_files(spark: SparkSession, paths: list[str], required: list[str]) -> tuple[list[str], dict[str, list[str]]]:
-    """Paths whose footer has all ``required`` columns, sorted, and for each other path what it lacks."""
-    good, lacking = [], {}
-    for path in sorted(paths):
-        missing = [c for c in required if c not in spark.read.parquet(path).columns]
-        if missing:
-            lacking[path] = missing
-        else:
-            good.append(path)
+    """Paths whose footers have all ``required`` columns, sorted, and for each other path what it lacks.
+
+    Footers are read by the tasks, 16 paths each; a folder counts by its first file with a footer.
+    A path that can't be read lacks everything.
+    """
+
+    def lacking(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in parts:
+            yield pd.DataFrame({"path": b["path"], "lacks": [[c for c in required if c not in _footer_columns(p)] for p in b["path"]]})
+
+    table = spark.createDataFrame([(p,) for p in sorted(paths)], "path string").repartition(max(1, len(paths) // 16), "path")
+    found = sorted((r["path"], r["lacks"]) for r in table.mapInPandas(lacking, "path string, lacks array<string>").collect())
+    good = [p for p, lacks in found if not len(lacks)]
     if not good:
         raise FileNotFoundError("no file has the required columns")
-    return good, lacking
+    return good, {p: list(lacks) for p, lacks in found if len(lacks)}
+
+
+def _opened(path: str):
+    """File system and path of a path or URI that executors share; a plain path is a local or mounted one."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+://", path) else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def _footer_columns(path: str) -> list[str]:
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, at = _opened(path)
+    try:
+        if system.get_file_info(at).type == fs.FileType.Directory:
+            files = sorted(f.path for f in system.get_file_info(fs.FileSelector(at, recursive=True)) if f.path.endswith(".parquet"))
+        else:
+            files = [at]
+        for f in files:
+            return pq.read_schema(f, filesystem=system).names
+    except (OSError, pa.ArrowInvalid):
+        pass
+    return []
 
 
 def edge_list(spark: SparkSession, path: str, source: str, target: str, weight: str, form: str = "parquet") -> DataFrame:
@@ -77,7 +110,7 @@ def word_list(spark: SparkSession, path: str, lower: bool = True) -> DataFrame:
         lines = spark.read.text(path)
     except AnalysisException:
         return spark.createDataFrame([], "name string")
-    name = F.trim(F.regexp_replace("value", "^﻿", ""))
+    name = strip(F.regexp_replace("value", "^﻿", ""))
     return lines.select((F.lower(name) if lower else name).alias("name")).where("name <> ''")
 
 
@@ -97,10 +130,11 @@ def stored_names(files: DataFrame, prefix: str = "folder_") -> DataFrame:
     return kept.select(F.lower(F.regexp_replace(F.substring_index("path", "/", -1), r"(_cleaned)?\.parquet$", "")).alias("name")).distinct()
 
 
-def probe_footers(files: DataFrame, attempts: int = 3) -> DataFrame:
+def probe_footers(files: DataFrame, attempts: int = 3, wait: float = 0.5) -> DataFrame:
     """path, n_rows, status of Parquet files by their footers alone: ok, corrupted or unreachable.
 
-    Paths must be readable by every executor; a footer is tried ``attempts`` times if it can't be reached.
+    Paths and URIs are opened by the executors; a footer that can't be reached is tried
+    ``attempts`` times, ``wait`` seconds apart and each time twice as long.
     """
 
     def probe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,15 +145,17 @@ def probe_footers(files: DataFrame, attempts: int = 3) -> DataFrame:
             rows = []
             for path in b["path"]:
                 n, status = None, "unreachable"
-                for _ in range(attempts):
+                for i in range(attempts):
                     try:
-                        n, status = pq.ParquetFile(path.removeprefix("file:")).metadata.num_rows, "ok"
+                        system, at = _opened(path)
+                        n, status = pq.read_metadata(at, filesystem=system).num_rows, "ok"
                         break
                     except (pa.ArrowInvalid, ValueError):
                         status = "corrupted"
                         break
                     except OSError:
-                        continue
+                        if i < attempts - 1:
+                            time.sleep(wait * 2**i)
                 rows.append((path, n, status))
             yield pd.DataFrame(rows, columns=["path", "n_rows", "status"]).astype({"n_rows": "Int64"})
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def cleaned_name(path: str) -> str:
@@ -11,12 +12,16 @@ def cleaned_name(path: str) -> str:
 
 
 def write_parquet(df: DataFrame, path: str, rows_per_file: int = 2_000_000, partition_by: list[str] | None = None) -> bool:
-    """Overwrite ``path``; False, and nothing written, for an empty table."""
-    if df.isEmpty():
-        return False
-    w = df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+    """Overwrite ``path``; False, and nothing left there, for an empty table. Rows are counted as they are written."""
+    seen = Observation()
+    w = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    return True
+    if seen.get["n"]:
+        return True
+    spark = df.sparkSession
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    return False
 
 
 def write_single(df: DataFrame, path: str, form: str = "parquet", mode: str = "overwrite") -> None:

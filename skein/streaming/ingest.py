@@ -11,13 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 from skein.operators.clean import clean_comments, clean_submissions, parse_objects
 
 
-def dump_stream(spark: SparkSession, path: str, kind: str, max_bytes: int | None = None, max_files: int | None = None, clean_source: str = "off", archive: str | None = None) -> DataFrame:
+def dump_stream(spark: SparkSession, path: str, kind: str, max_bytes: int | None = None, max_files: int | None = None, clean_source: str = "off", archive: str | None = None, name: str | None = None) -> DataFrame:
     """Cleaned records of ``kind`` from dump files that arrive below ``path``.
 
     ``max_bytes`` / ``max_files`` bound a batch (the back-pressure), ``clean_source`` removes or
-    archives consumed files. Files that are no dump of this kind are left alone.
+    archives consumed files. Files that are no dump of this kind, by their names or the pattern ``name``, are left alone.
     """
-    reader = spark.readStream.option("pathGlobFilter", f"*_{kind}*").option("cleanSource", clean_source)
+    reader = spark.readStream.option("pathGlobFilter", name or f"*_{kind}*").option("cleanSource", clean_source)
     for option, value in (("maxBytesPerTrigger", max_bytes), ("maxFilesPerTrigger", max_files), ("sourceArchiveDir", archive)):
         if value is not None:
             reader = reader.option(option, str(value))
@@ -36,6 +36,22 @@ def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int
     return query
 
 
+def run_until(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], stop: Callable[[], bool], every: float = 1.0) -> StreamingQuery:
+    """Take files as they arrive until ``stop()`` is true, then those that are there still, and end.
+
+    A paused run goes on from the same checkpoint; nothing is taken twice.
+    """
+    query = df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=f"{int(every * 1000)} milliseconds").start()
+    while query.isActive and not stop():
+        query.awaitTermination(int(max(1, every)))
+    if query.isActive:
+        query.processAllAvailable()
+        query.stop()
+    if query.exception():
+        raise query.exception()
+    return query
+
+
 def parquet_sink(path: str) -> Callable[[DataFrame, int], None]:
     """A sink with one folder per batch."""
     return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")

@@ -1,11 +1,12 @@
 import json
 
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
 from skein.functions.embed import embed, hashing_embedder, mean_pool
-from skein.operators import checks
+from skein.operators import checks, clean, manifest, similarity
 from skein.session import shared_dir, stage, sweep
 from skein.sources import files, sinks
 from skein.streaming import ingest
@@ -110,3 +111,42 @@ def test_stage_and_sweep(spark):
     df = stage(spark.range(5))
     assert df.count() == 5 and shared_dir(spark)
     assert sweep(spark) >= 1 and sweep(spark) == 0
+
+
+def test_stream_until_stopped(spark, tmp_path):
+    """A stream that is told to stop takes what is there first; a later run goes on."""
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "a_submissions").write_text(_record(1))
+    sink = ingest.parquet_sink(out)
+    stream = lambda: ingest.dump_stream(spark, str(source), "submissions")
+    asked = []
+    ingest.run_until(stream(), str(tmp_path / "cp"), sink, lambda: bool(asked.append(1)) or len(asked) > 1)
+    (source / "b_submissions").write_text(_record(2))
+    ingest.run_until(stream(), str(tmp_path / "cp"), sink, lambda: True)
+    assert tuples(spark.read.parquet(out), "name") == [("t3_1",), ("t3_2",)]
+
+
+def test_funnel_and_files(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (None, "b"), (5, "c")], "x int, y string")
+    steps = {"there": F.col("y").isNotNull(), "small": F.col("x") < 3}
+    assert tuples(clean.funnel(df, steps)) == [(1, "there", 4, 3, 1), (2, "small", 3, 1, 2)]
+    assert tuples(clean.funnel(df.limit(0), steps)) == [(1, "there", 0, 0, 0), (2, "small", 0, 0, 0)]
+    asked = spark.createDataFrame([(" Cats",), ("cats",), ("dogs",), (None,)], "s string")
+    mapped = manifest.map_files(asked, "s", spark.createDataFrame([("cats", "p/cats")], "n string, path string"), "n")
+    assert tuples(mapped) == [("cats", 2, "p/cats"), ("dogs", 1, None)] and tuples(manifest.map_misses(mapped)) == [(2, 1, 1)]
+    assert spark.range(1).select(manifest.in_units(F.lit(3 << 19), "MB")).first()[0] == 1.5
+
+
+def test_percentile_edges(spark):
+    rng = np.random.default_rng(7)
+    v = [rng.normal(size=6) for _ in range(60)]
+    v[3] = v[4]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "k bigint, v array<double>")
+    s = {(i, j): float(v[i] @ v[j] / np.linalg.norm(v[i]) / np.linalg.norm(v[j])) for i in range(60) for j in range(i + 1, 60)}
+    for q in (0.0, 0.5, 0.97, 1.0):
+        least = np.percentile(list(s.values()), 100 * q)
+        got = {(r.source, r.target) for r in similarity.pairs_above_percentile(df, "k", "v", q, block=16).collect()}
+        assert got >= {p for p, x in s.items() if x > least + 1e-9} and got <= {p for p, x in s.items() if x >= least - 1e-9}
+    assert similarity.pairs_above_percentile(df.limit(0), "k", "v").isEmpty()
+    assert similarity.pairs_above_percentile(df.where("k < 2"), "k", "v").count() == 1
