@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skein.functions.keys import BLANKS
+
 #: Tombstones of authors and texts, and ways to write a missing value.
 TOMBSTONES = ("[deleted]", "[removed]")
 MISSING = ("", "none", "null", "nan")
@@ -16,7 +18,7 @@ SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{
 
 def strip_space(c: Column) -> Column:
     """``c`` without white space at both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(BLANKS + "\x1c\x1d\x1e\x1f"))
 
 
 def missing_to_null(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -48,15 +49,27 @@ def token_count(c: Column) -> Column:
     return F.size(F.regexp_extract_all(c, F.lit(r"(?U)\w+|[^\w\s]+"), F.lit(0)))
 
 
-def _emoji_name(char: str) -> str:
-    if unicodedata.category(char) != "So" and not 0x1F000 <= ord(char) <= 0x1FAFF:
-        return char
-    name = unicodedata.name(char, "")
-    return f" {name.lower().replace(' ', '_').replace('-', '_')} " if name else char
+def _pictograph(char: str) -> bool:
+    return unicodedata.category(char) == "So" or 0x1F000 <= ord(char) <= 0x1FAFF
+
+
+#: Two letters of a flag, or a sign with what joins it: variation selector, skin tone, keycap, further signs after a joiner.
+_SEQUENCE = re.compile("[\U0001f1e6-\U0001f1ff]{2}|[^\x00-\xa8](?:[\ufe0f\u20e3\U0001f3fb-\U0001f3ff]|\u200d[^\x00-\xa8])*")
+
+
+def _emoji_name(found: re.Match) -> str:
+    """A sequence's name between blanks: ``flag_`` and its letters, or the Unicode names of its signs."""
+    s = found[0]
+    if not _pictograph(s[0]):
+        return s
+    if len(s) == 2 and all("\U0001f1e6" <= c <= "\U0001f1ff" for c in s):
+        return f" flag_{''.join(chr(ord(c) - 0x1F1E6 + 97) for c in s)} "
+    names = [unicodedata.name(c, "") for c in s if c not in "\u200d\ufe0f\u20e3"]
+    return f" {'_'.join(n.lower().replace(' ', '_').replace('-', '_') for n in names)} " if all(names) else s
 
 
 @F.pandas_udf(StringType())
 def demojize(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Pictographs replaced by their Unicode names between blanks; null stays null."""
+    """Pictographs replaced by their Unicode names between blanks, joined sequences, skin tones and flags as one; null stays null."""
     for t in texts:
-        yield t.map(lambda s: s if s.isascii() else "".join(map(_emoji_name, s)), na_action="ignore")
+        yield t.map(lambda s: s if s.isascii() else _SEQUENCE.sub(_emoji_name, s), na_action="ignore")

@@ -33,7 +33,7 @@ def key_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, f
     Gives ``keys``, ``n_rows``, ``n_values`` (without nulls and NaN) and for each name in
     ``probs`` the value of rank ceil(p * n_values), rank 1 at least, in ascending order; null
     where a key has no value. Only keys with ``least_rows`` rows or more come out. Rows with a
-    null among the keys are no key; an empty ``df`` gives no row; other columns are ignored.
+    null among the keys are no key; decimals count as doubles; an empty ``df`` gives no row; other columns are ignored.
 
     Rows are first merged into counts of (key, value), which spreads a hot key over all tasks.
     Every round then splits the value range of each open (key, quantile) into ``buckets``,
