@@ -23,8 +23,8 @@ LEAST_DOCS, LEAST_LEAN = 2, 0.3
 LINK_LEAN = 0.3
 #: Weight of the mean in a term's distribution, in documents.
 SMOOTH = 1.0
-#: Each document stands in so many orders of the corpus, by minimum hashes of its linking terms, and is
-#: compared with its next neighbours in each.
+#: For :func:`similar` alone: each document stands in so many orders of the corpus, by minimum hashes of its
+#: linking terms, and is compared with its next neighbours in each.
 ORDERS, NEIGHBOURS = 6, 1
 #: Neighbours are linked if they share so many linking terms and this share of all they have.
 LEAST_COMMON, LEAST_LIKE = 2, 0.1
@@ -102,12 +102,12 @@ def subjects(docs: DataFrame, seeds: DataFrame, doc: str, text: str, subject: st
     should be unique; other columns are ignored.
 
     The graph: linking terms are words and pairs of words whose documents' labels lean to few
-    subjects. The documents stand in :data:`ORDERS` orders by minimum hashes of their linking
-    terms, in which documents with many terms in common come side by side; each pair of
-    neighbours is verified by its terms and linked if it is alike. So edges grow with the
-    documents, whatever a subject's share. A round of propagation sends the documents'
-    distributions over subjects along the edges. Trusted seeds are clamped to their labels; seeds
-    whose neighbours contradict them lose their trust, and no subject displaces another. What a
+    subjects. Any two documents with a linking term in common are linked, the more the more
+    terms they share and the fewer others have these. A round of propagation sends the documents'
+    distributions over subjects along all these edges, summed term by term (:func:`propagate`):
+    no pair is left out and none is listed, so a round grows with the documents' terms, whatever
+    a subject's share. Trusted seeds are clamped to their labels; seeds whose neighbours
+    contradict them lose their trust, and no subject displaces another. What a
     document keeps from propagation are its candidates. An exact check of the text follows: the
     terms of each sentence, by the propagated distributions of all documents, decide what the
     sentence deals with, and candidates with ``share`` of the sentences come out; the labels of a
@@ -132,8 +132,8 @@ def subjects(docs: DataFrame, seeds: DataFrame, doc: str, text: str, subject: st
         return own.join(stage(_floats(of, cols), "subjects-sent"), "doc").select(*cols, F.explode("terms").alias("term"))
 
     linking = _linking_terms(votes(label), cols, LINK_LEAN).select("term")
-    edges = similar(_meet(own.select("doc", F.explode("terms").alias("term")), linking))
-    believed = propagate(edges, label, cols, rounds)
+    linked = stage(_meet(own.select("doc", F.explode("terms").alias("term")), linking).groupBy("doc").agg(F.collect_list("term").alias("terms")), "subjects-linked")
+    believed = propagate(linked, label, cols, rounds)
     terms = _linking_terms(votes(believed), cols)
     said = F.transform("sentences", lambda places: F.transform(places, lambda i: F.col("terms")[i]))
     spoken = parsed.select("doc", F.posexplode(said).alias("at", "said")).select("doc", "at", F.explode("said").alias("term"))
@@ -156,6 +156,9 @@ def _floats(of: DataFrame, cols: list[str]) -> DataFrame:
 def similar(links: DataFrame) -> DataFrame:
     """(doc, other, alike), both ways: documents side by side in one of the orders and alike enough.
 
+    A list of near neighbours, not of all pairs alike, whose number grows with the square of the
+    documents. :func:`subjects` doesn't use it: its graph has all pairs.
+
     ``links``: (doc, term), each once. An order sorts the documents by one minimum hash of their
     terms, then the next; documents with equal ones follow each other. Only runs of one minimum
     hash are windows, and the hottest (by a count) are cut into parts by a hash of the document.
@@ -178,24 +181,53 @@ def similar(links: DataFrame) -> DataFrame:
     return stage(edges.select(both.alias("e"), "alike").select("e.doc", "e.other", "alike"), "subjects-edges")
 
 
-def propagate(edges: DataFrame, label: DataFrame, cols: list[str], rounds: int) -> DataFrame:
-    """The distribution over ``cols`` of each document a label reaches in ``rounds`` along ``edges``.
+def _along(edges: DataFrame, sent: DataFrame, cols: list[str]) -> DataFrame:
+    """(doc, s0, s1, ...): what its neighbours in ``edges`` send to each document, weighted by their likeness."""
+    met = edges.join(sent.withColumnRenamed("doc", "other"), "other")
+    return met.groupBy("doc").agg(*(F.sum(F.col(c) * F.col("alike")).alias(c) for c in cols))
+
+
+def _through(linked: DataFrame, sent: DataFrame, cols: list[str]) -> DataFrame:
+    """(doc, s0, s1, ...): what all others that share a term send to each document, over each term the mean of the others that have it.
+
+    The sum over all pairs, by terms: what all send through a term less the document's own, which
+    leaves an exact zero where nobody else sends. ``linked``: (doc, terms), staged.
+    """
+    sums = linked.join(sent, "doc").select(*cols, F.explode("terms").alias("term"))
+    sums = stage(sums.groupBy("term").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_{c}") for c in cols)), "subjects-sums")
+    told = linked.join(sent, "doc", "left")
+    told = stage(told, "subjects-told") if sums.count() > MOST_TERMS else told
+    others = F.col("_n") - F.when(F.col(cols[0]).isNotNull(), 1).otherwise(0)
+    met = _meet(told.select("doc", *cols, F.explode("terms").alias("term")), sums).where(others > 0)
+    return met.groupBy("doc").agg(*(F.sum((F.col(f"_{c}") - F.coalesce(c, F.lit(0.0))) / others).alias(c) for c in cols))
+
+
+def propagate(graph: DataFrame, label: DataFrame, cols: list[str], rounds: int) -> DataFrame:
+    """The distribution over ``cols`` of each document a label reaches in ``rounds`` in ``graph``.
+
+    ``graph`` has edges (doc, other, alike), both ways, or documents with terms (doc, terms), each
+    term once, and then all documents that share terms are neighbours: what a document hears from
+    another counts 1/n for each term they share, n being the other documents that send and have it.
 
     Besides doc and ``cols``: ``_held``, the most that each subject was held in any round, by a
     trusted seed its labels and what its neighbours add to them, by another seed only what they
     said last, and ``_labelled``, whether it is the label of a trusted seed.
 
-    A round gives a document the mean of its neighbours', weighted by their likeness. From the
+    A round gives a document the mean of its neighbours', weighted by their likeness; where all
+    that share terms are neighbours, its shares are squared, since the many that are hardly alike
+    add a little of every subject. From the
     first round on a seed keeps its label if its neighbours give that :data:`TRUST`, or if it has
     none; other seeds take what their neighbours say.
     """
+    hear = _through if "terms" in graph.columns else _along
     total = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
     given = [f"_{c}" for c in cols]
     now = label.select("*", *(F.col(c).alias(g) for c, g in zip(cols, given, strict=True)), F.array(*cols).alias("_held"), F.array(*(F.col(c) > 0 for c in cols)).alias("_labelled"))
     for _ in range(rounds):
         now = stage(now, "subjects-round")
-        sent = edges.join(stage(_floats(now, cols), "subjects-sent").withColumnRenamed("doc", "other"), "other")
-        heard = sent.groupBy("doc").agg(*(F.sum(F.col(c) * F.col("alike")).alias(c) for c in cols)).where(total > 0)
+        heard = hear(graph, stage(_floats(now, cols), "subjects-sent"), cols).where(total > 0)
+        if hear is _through:
+            heard = heard.select("doc", *((F.col(c) * F.col(c)).alias(c) for c in cols))
         heard = heard.select("doc", *((F.col(c) / total).alias(c) for c in cols))
         both = heard.join(now.select("doc", *given, F.col("_held").alias("_before"), *(F.col(c).alias(f"_own{c}") for c in cols)), "doc", "full")
         said = {c: F.coalesce(c, F.lit(0.0)) for c in cols}

@@ -13,10 +13,10 @@ from skein.llm.encoding import RANKS, _encoder, _splitter, decode, encode, stitc
 from skein.llm.leakage import SPAN, passages, seeds, sieve, sifted
 from skein.llm.markup import running_text, sentences
 from skein.llm.overlap import common, overlaps
-from skein.llm.subjects import _IDS, ORDERS, _terms, propagate, similar, subjects
+from skein.llm.subjects import _IDS, ORDERS, _terms, _through, propagate, similar, subjects
 from skein.llm.topn import best_rows, top_n
 
-from skein.operators.skew import hot_keys
+from skein.operators.skew import hot_keys, skew_join
 
 from ..conftest import tuples
 
@@ -311,6 +311,38 @@ def test_neighbours_are_verified(spark, monkeypatch):
     assert edges[201, 202] == 1
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_all_that_share_a_term_are_heard(spark, monkeypatch, most):
+    """What a document hears is the sum over all others, pair by pair, by broadcast and by shuffle; who shares nothing hears nothing, not even itself."""
+    monkeypatch.setattr("skein.llm.subjects.MOST_TERMS", most)
+    monkeypatch.setattr("skein.llm.subjects.skew_join", lambda left, right, keys: skew_join(left, right, keys, least=40))
+    rng = random.Random(11)
+    docs = {i: set(rng.sample(range(60), 8)) | ({100} if i % 3 else set()) for i in range(150)} | {200: {7777, 7778}, 201: {8888}, 202: {8888}}
+    held = {i: (x, 1 - x) for i in docs if i % 2 == 0 or i == 201 for x in [rng.choice([0.0, 0.125, 1.0])]}
+    linked = spark.createDataFrame([(i, sorted(t)) for i, t in docs.items()], "doc bigint, terms array<bigint>")
+    sent = spark.createDataFrame([(i, *h) for i, h in held.items()], "doc bigint, s0 float, s1 float")
+    got = {r.doc: (r.s0, r.s1) for r in _through(linked, sent, ["s0", "s1"]).collect()}
+    want = {}
+    for a, terms in docs.items():
+        for b in held.keys() - {a}:
+            alike = sum(1 / sum(t in docs[o] for o in held.keys() - {a}) for t in terms & docs[b])
+            if alike:
+                want[a] = tuple(x + alike * y for x, y in zip(want.get(a, (0, 0)), held[b], strict=True))
+    assert got.keys() == want.keys() and 200 not in got
+    assert all(abs(x - y) < 1e-9 for i in want for x, y in zip(got[i], want[i], strict=True))
+
+
+def test_one_round_reaches_all_alike(spark):
+    """Few seeds among many documents alike: each of these is linked to a seed, so one round gives it its subject."""
+    rng = random.Random(12)
+    vocab = {s: [f"{s}{chr(97 + i)}" for i in range(12)] for s in ("law", "sport", "film", "food")}
+    about = {i: sorted(vocab)[i % 4] for i in range(400)}
+    docs = [(i, " ".join(f"we saw the {rng.choice(vocab[s])} and then the {rng.choice(vocab[s])} once more." for _ in range(8))) for i, s in about.items()]
+    seeds_ = spark.createDataFrame([(i, s) for i, s in about.items() if i < 40], "doc_id bigint, subject string")
+    found = subjects(spark.createDataFrame(docs, "doc_id bigint, text string"), seeds_, "doc_id", "text", "subject", rounds=1)
+    assert {(r.doc_id, r.subject) for r in found.collect()} == set(about.items())
+
+
 def test_labels_move_along_edges(spark):
     pairs = [(1, 2), (2, 3), (3, 4), (5, 6), (7, 1), (7, 2), (7, 3)]
     edges = spark.createDataFrame([(a, b, 1.0) for p in pairs for a, b in (p, p[::-1])], "doc bigint, other bigint, alike float")
